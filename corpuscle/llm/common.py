@@ -71,7 +71,7 @@ def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
 
 def planned_bytes(df: DataFrame) -> int:
     """What the planner takes for the size of df, to choose a number of buckets."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bucket_bits(df: DataFrame, each: int = 8 << 20, least: int = 6, most: int = 16) -> int:
