@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, common, repair
+from corpuscle.llm import bpe, common, quality, repair
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +22,5 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair)}
 SQL: dict[str, str] = {}
