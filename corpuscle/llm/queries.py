@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, common, quality, repair
+from corpuscle.llm import bpe, common, neardup, quality, repair
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,9 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair)}
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents")).drop("content")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair, op6_neardup)}
 SQL: dict[str, str] = {}
