@@ -6,8 +6,9 @@ the fragments are encoded independently (each distinct one once for a worker) an
 concatenated.
 
 Before that, a text is cut where the pre-tokenizer is certain to cut: before a space or a line
-feed that a visible character follows. Those pieces are kept with their ids, so most of a text
-is one dictionary lookup a word.
+feed that a visible character follows, and between a letter and a sentence mark. The pieces of
+some megabytes of text are hashed together, each distinct one is encoded once, and the ids are
+gathered in the texts' order.
 
 Defined results: a null text counts as empty and has no ids; special tokens of the vocabulary
 that stand in a text become their id, as in the library; rows are never dropped, repeated rows
@@ -20,22 +21,31 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuscle.llm import common
+from corpuscle.llm.words import RAW, prefix, spans
 
 #: Distinct pieces that a worker keeps; then it starts anew.
-KEPT_PIECES = 600_000
-_ODD = re.compile(r"\A\s|[ \n](?:\s|\Z)")
+KEPT_PIECES = 1_000_000
+#: Texts are encoded in runs of about so many bytes.
+RUN_BYTES = 4 << 20
 _CUT = re.compile(r"[ \n](?=\S)")
-#: Letters whose class no version of Unicode has changed, alone or before sentence marks.
+#: Letters whose class no version of Unicode has changed.
 _WORD = re.compile(r" ?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u017F]+\Z")
-_WORD_MARK = re.compile(r" ([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u017F]+)([.,;:!?]+)\Z")
-#: Before a kept piece that no space stands before.
-_RAW = "\r"
+
+_BREAK = np.zeros(256, bool)  # a space or a line feed
+_BREAK[[0x20, 0x0A]] = True
+_VISIBLE = np.zeros(256, bool)  # first bytes of characters that are white space in no version of Unicode
+_VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE0)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def default_path() -> str:
@@ -51,21 +61,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        first = piece[:1]
-        self[piece] = ids = self.encode(piece if first == "\n" else piece[1:] if first == _RAW else " " + piece)
-        return ids
-
-
 class ForcedBoundaryBPE:
-    """Encodes to ids as little-endian unsigned 32-bit integers, and decodes."""
+    """Encodes to little-endian unsigned 32-bit ids, and decodes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,50 +83,98 @@ class ForcedBoundaryBPE:
             self.bytes_of[k] = bytes(alphabet[c] for c in word) if all(c in alphabet for c in word) else word.encode()
         for word, k in self.special.items():
             self.bytes_of[k] = word.encode()
-        self.pieces, self.fragments = _Pieces(self._piece), {}
+        self.packed = [np.uint32(k).astype("<u4").tobytes() for k in range(self.size)]
+        self.tokenize = self.library.model.tokenize
+        self.byte_counts = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.byte_starts = np.cumsum(self.byte_counts) - self.byte_counts
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.pieces: dict[int, bytes] = {}
+        self.fragments: dict[str, bytes] = {}
 
     def _fragment(self, fragment: str) -> bytes:
         if (ids := self.fragments.get(fragment)) is None:
             if len(self.fragments) >= KEPT_PIECES:
                 self.fragments.clear()
-            ids = np.array([t.id for t in self.library.model.tokenize(fragment)], "<u4").tobytes()
+            ids = self._tokens(fragment)
             if len(fragment) < 64:
                 self.fragments[fragment] = ids
         return ids
 
+    def _tokens(self, fragment: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(fragment)])
+
     def fragments_of(self, shown: str) -> Iterator[str]:
         lo, inside = 0, self.inside
         for k in range(1, len(shown)):
             if shown[k - 1 : k + 1] not in inside:
                 yield shown[lo:k]
                 lo = k
-        if shown:
-            yield shown[lo:]
+        yield shown[lo:]
 
     def _piece(self, piece: str) -> bytes:
-        if m := _WORD_MARK.match(piece):  # letters end a run of the pre-tokenizer, whatever stands after them
-            return self.pieces[m[1]] + self.pieces[_RAW + m[2]]
-        if _WORD.match(piece):  # one run, so no need to ask the library
-            return b"".join(map(self._fragment, self.fragments_of(piece.encode().decode("latin-1").translate(self.shown))))
+        if _WORD.match(piece):  # one run of the pre-tokenizer, so no need to ask the library
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+            if self.inside.issuperset(map(add, shown, shown[1:])):  # no certain cut
+                return self._tokens(shown)
+            return b"".join(map(self._tokens, self.fragments_of(shown)))
         shown = self.library.pre_tokenizer.pre_tokenize_str(piece)
         return b"".join(self._fragment(f) for word, _ in shown for f in self.fragments_of(word))
 
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            cuts = [0, *(m.start() for m in _CUT.finditer(text) if m.start()), len(text)]
-            return b"".join(self._piece(text[a:b]) if not a or text[a] != " " else self.pieces[text[a + 1 : b]] for a, b in zip(cuts, cuts[1:], strict=False))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._piece(first) + b"".join(map(self.pieces.__getitem__, rest))
-
-    def encode(self, text: str) -> bytes:
-        if self.split is None or not self.split.search(text):
-            return self._plain(text)
-        return b"".join(np.uint32(self.special[t]).tobytes() if t in self.special else self._plain(t) for t in self.split.split(text))
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one text, special tokens included."""
+        parts = self.split.split(text) if self.split else [text]
+        out = []
+        for part in parts:
+            if part in self.special:
+                out.append(np.uint32(self.special[part]).astype("<u4").tobytes())
+            else:
+                cuts = [0, *(m.start() for m in _CUT.finditer(part) if m.start()), len(part)]
+                out += [self._piece(part[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a run, one after another, and the number of ids of each."""
+        if self.special and any(t.encode() in (whole := data.tobytes()) for t in self.special):
+            each = [self.encode(whole[a:b].decode("utf-8", "replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data) > 1:
+            np.logical_and(_BREAK[data[:-1]], _VISIBLE[data[1:]], out=cut[:-2])
+            letter = _LETTER[data]
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            cut[1:-1] |= _MARK[data[1:]] & letter[:-1]
+        # what a text ends with is followed by nothing, whatever the next text begins with
+        cut[np.maximum(offsets[1:] - 1, 0)] &= _MARK[data[np.maximum(offsets[1:] - 1, 0)]] if len(data) else False
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
+        start, end = at[:-1], at[1:]
+        keys, first, back = np.unique(spans(prefix(RAW[data]), start, end), return_index=True, return_inverse=True)
+        pieces, ids = self.pieces, []
+        if len(pieces) > KEPT_PIECES:
+            pieces.clear()
+        whole = data.tobytes()
+        for key, a, b in zip(keys.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
+            if (got := pieces.get(key)) is None:
+                pieces[key] = got = self._piece(whole[a:b].decode("utf-8", "replace"))
+            ids.append(got)
+        sizes = np.array([len(x) >> 2 for x in ids], np.int64)
+        return gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, back), np.diff(np.concatenate(([0], np.cumsum(sizes[back])))[np.searchsorted(start, offsets)])
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        return gathered(self.flat, self.byte_starts, self.byte_counts, ids.astype(np.int64)).tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of flat named by which, one after another."""
+    size = sizes[which]
+    ends = np.cumsum(size)
+    shift = np.repeat(starts[which] - (ends - size), size)
+    shift += np.arange(len(shift))
+    return flat[shift]
 
 
 _loaded: dict[str, ForcedBoundaryBPE] = {}
@@ -151,18 +196,18 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = tokenizer(path), hashlib.sha256
         for batch in batches:
-            counts, ids_sha, decoded_sha, all_ids, decoded = [], [], [], [], []
-            for t in common.texts(batch.column(len(keep))):
-                ids = bpe.encode(t.as_py())
-                back = bpe.decode(ids)
-                counts.append(len(ids) // 4)
-                ids_sha.append(sha(ids).hexdigest())
-                decoded_sha.append(sha(back.encode()).hexdigest())
+            for lo, hi, data, offsets in common.chunks(batch.column(len(keep)), RUN_BYTES):
+                ids, counts = bpe.encode_run(data, offsets)
+                ends = np.cumsum(counts)
+                own = [ids[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                back = bpe.decode_bytes(ids)
+                byte_ends = np.concatenate(([0], np.cumsum(bpe.byte_counts[ids])))
+                decoded = [back[byte_ends[e - n] : byte_ends[e]] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                # of invalid bytes the decoder makes marks; ids of valid texts decode to them exactly
+                decoded = [d if d.isascii() else d.decode("utf-8", "replace").encode() for d in decoded]
+                columns = [pa.array(counts, pa.int64()), pa.array([sha(x).hexdigest() for x in own], pa.string()), pa.array([sha(d).hexdigest() for d in decoded], pa.string())]
                 if with_ids:
-                    all_ids.append(np.frombuffer(ids, "<i4"))
-                    decoded.append(back)
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
-            columns = [*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: len(more)]])
+                    columns += [pa.array([x.view("<i4") for x in own], pa.list_(pa.int32())), pa.array([d.decode() for d in decoded], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), *columns], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]])
 
     return docs.select(*keep, text).mapInArrow(run, out)

@@ -34,13 +34,8 @@ FILE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, doc_ids ar
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _frequent(pairs: np.ndarray, least: int, bits: int = 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of pairs that may be frequent, the frequent pairs, their counts. Hashed counts never undercount."""
-    slot = ((pairs * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= least)
-    keys, counts = np.unique(pairs[at], return_counts=True)
-    many = counts >= least
-    return at, keys[many], counts[many]
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    return ((pairs * _ODD) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _taken(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -64,7 +59,7 @@ def _taken(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def compress(ids: np.ndarray, first_free: int, rounds: int = 6, a_round: int = 2048, share: float = 2e-5, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_free: int, rounds: int = 3, a_round: int = 3072, share: float = 2e-5, least: int = 8, bits: int = 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Remaining sequence, rules (left, right), expansion lengths; rule k is symbol first_free + k."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -73,16 +68,20 @@ def compress(ids: np.ndarray, first_free: int, rounds: int = 6, a_round: int = 2
         if len(seq) < 2:
             break
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        at, keys, counts = _frequent(pairs, max(least, int(share * len(seq))))
-        chosen = _taken(keys, counts, a_round)
+        # one pair stands for each hashed slot and is counted exactly; others of the slot wait for a later round
+        slot = _slots(pairs, bits)
+        stands = np.zeros(1 << bits, np.uint64)
+        stands[slot] = pairs
+        own = stands[slot] == pairs
+        counts = np.bincount(slot[own], minlength=1 << bits)
+        many = np.flatnonzero(counts >= max(least, int(share * len(seq))))
+        chosen = _taken(stands[many], counts[many], a_round)
         if not len(chosen):
             break
-        names = np.arange(free, free + len(chosen), dtype=np.uint32)
-        order = np.argsort(chosen)
-        own = pairs[at]
-        found = np.minimum(np.searchsorted(chosen[order], own), len(chosen) - 1)
-        hit = chosen[order][found] == own
-        at, name = at[hit], names[order][found[hit]]
+        names = np.zeros(1 << bits, np.uint32)
+        names[_slots(chosen, bits)] = np.arange(free, free + len(chosen))
+        at = np.flatnonzero(names[slot].astype(bool) & own)
+        name = names[slot[at]]
         same = seq[at] == seq[at + 1]
         if same.any():  # in a run of one symbol, every second position, counted from the run's start
             runs = at[same]
@@ -179,21 +178,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = bpe.tokenizer(tokenizer_path), TaskContext.get().partitionId()
-        end, schema = np.uint32(end_id).tobytes(), pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("grammar", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("grammar", pa.binary())])
         block = before = held = 0
         ids, sizes, parts = [], [], []
 
         def out() -> pa.RecordBatch:
-            whole = np.frombuffer(b"".join(parts), "<u4")
+            whole = np.concatenate(parts)
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "shard_start": before, "n_tokens": held, "doc_ids": ids, "doc_tokens": sizes, "grammar": pack(whole, coder.size)}], schema)
 
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                made = coder.encode(t.as_py()) + end
-                ids.append(k.as_py())
-                sizes.append(len(made) // 4)
-                parts.append(made)
-                held += sizes[-1]
+            for lo, hi, data, offsets in common.chunks(batch.column(1), bpe.RUN_BYTES):
+                whole, counts = coder.encode_run(data, offsets)
+                whole, counts = np.insert(whole, np.cumsum(counts), np.uint32(end_id)), counts + 1
+                ids += batch.column(0)[lo:hi].to_pylist()
+                sizes += counts.tolist()
+                parts.append(whole)
+                held += len(whole)
                 if held >= block_tokens:
                     yield out()
                     block, before, held = block + 1, before + held, 0
