@@ -86,8 +86,8 @@ class HashTable:
         found = np.zeros(len(uniq), bool)
         values = [np.zeros(len(uniq), kind) for kind in self.kinds]
         firsts = np.array([p[0] for p in self.parts], np.int64)
-        edges = np.searchsorted(uniq, firsts)
-        for (_, n, uri), lo, hi in zip(self.parts, edges, [*edges[1:], len(uniq)], strict=True):
+        edges = [*np.searchsorted(uniq, firsts), len(uniq)]
+        for (_, n, uri), lo, hi in zip(self.parts, edges, edges[1:], strict=False):
             if lo < hi:
                 own, *rest = mapped(uri, n, self.kinds)
                 at = np.minimum(np.searchsorted(own, uniq[lo:hi]), n - 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, common, neardup, quality, repair
+from corpuscle.llm import bpe, common, fingerprint, line_dedup, mixing, neardup, quality, repair, sharding
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +27,24 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents")).drop("content")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair, op6_neardup)}
-SQL: dict[str, str] = {}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(common.table(spark, sf_dir, "documents"), 8)
+    return placed.withColumn("law", F.lit("key"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(common.table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    read = pages.select("page_id", line_dedup.page_host(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(read, ["page_id", "host"], "page_id", "host", "text")
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair, op4_sharding, op6_neardup, op8_mixing, op9_line_dedup, op10_fingerprint)}
+SQL: dict[str, str] = {"op9_line_dedup": line_dedup.sql()}
