@@ -172,8 +172,10 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.
     """The runs of flat named by which, one after another."""
     size = sizes[which]
     ends = np.cumsum(size)
-    shift = np.repeat(starts[which] - (ends - size), size)
-    shift += np.arange(len(shift))
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = np.repeat((starts[which] - (ends - size)).astype(kind), size)
+    shift += np.arange(total, dtype=kind)
     return flat[shift]
 
 

@@ -59,7 +59,7 @@ def _taken(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def compress(ids: np.ndarray, first_free: int, rounds: int = 3, a_round: int = 3072, share: float = 2e-5, least: int = 8, bits: int = 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_free: int, rounds: int = 3, a_round: int = 3072, share: float = 2e-5, least: int = 8, bits: int = 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Remaining sequence, rules (left, right), expansion lengths; rule k is symbol first_free + k."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -128,32 +128,17 @@ class Grammar:
         self.rules = np.frombuffer(blob, "<u4", 2 * rules, at).reshape(-1, 2)
         self.sizes = np.frombuffer(blob, "<u4", rules, at := at + 8 * rules)
         self.seq = np.frombuffer(blob, "<u2" if self.first_free + rules <= 1 << 16 else "<u4", left, at + 4 * rules)
-        flat: list[np.ndarray] = []  # the rules' expansions, each from those before it
-        part = lambda s: flat[s - self.first_free] if s >= self.first_free else np.array([s], np.uint32)
+        flat: list[np.ndarray] = [np.arange(self.first_free, dtype=np.uint32)]  # ids, then the rules' expansions
+        ids, part = flat[0], lambda s: flat[s - self.first_free + 1] if s >= self.first_free else ids[s : s + 1]
         for a, b in self.rules.tolist():
             flat.append(np.concatenate((part(a), part(b))))
-        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        self.flat_at = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        self.flat = np.concatenate(flat)
+        self.size_of = np.concatenate((np.ones(self.first_free, np.int32), self.sizes.astype(np.int32)))
+        self.start_of = (np.cumsum(self.size_of, dtype=np.int64) - self.size_of).astype(np.int32)
         self.ends: np.ndarray | None = None
 
-    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.first_free
-        out[rule] = self.sizes[symbols[rule].astype(np.int64) - self.first_free]
-        return out
-
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = self._sizes(symbols)
-        ends = np.cumsum(sizes)
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-        rule = symbols >= self.first_free
-        out[ends[~rule] - 1] = symbols[~rule]
-        size, begin = sizes[rule], ends[rule] - sizes[rule]
-        source = self.flat_at[symbols[rule].astype(np.int64) - self.first_free]
-        total = int(size.sum())
-        inner = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(begin, size) + inner] = self.flat[np.repeat(source, size) + inner]
-        return out
+        return bpe.gathered(self.flat, self.start_of, self.size_of, symbols)
 
     def all(self) -> np.ndarray:
         return self._expand(self.seq)
@@ -161,7 +146,7 @@ class Grammar:
     def read(self, start: int, count: int) -> np.ndarray:
         """Ids [start, start + count), expanding only the symbols that cover them."""
         if self.ends is None:
-            self.ends = np.cumsum(self._sizes(self.seq))
+            self.ends = np.cumsum(self.size_of[self.seq], dtype=np.int64)
         lo, hi = np.searchsorted(self.ends, [start, start + count - 1], "right")
         before = int(self.ends[lo - 1]) if lo else 0
         return self._expand(self.seq[lo : hi + 1])[start - before : start - before + count]
