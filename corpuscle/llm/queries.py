@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, common, fingerprint, line_dedup, mixing, neardup, quality, repair, sharding
+from corpuscle.llm import bpe, classifier, common, fingerprint, line_dedup, lm, mixing, neardup, quality, repair, sharding
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(spark, path)
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(common.table(spark, sf_dir, "documents"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents")).drop("content")
 
@@ -32,6 +36,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(common.table(spark, sf_dir, "documents"))
 
@@ -46,5 +54,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair, op4_sharding, op6_neardup, op8_mixing, op9_line_dedup, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair, op4_sharding, op5_lm, op6_neardup, op7_classifier, op8_mixing, op9_line_dedup, op10_fingerprint)}
 SQL: dict[str, str] = {"op9_line_dedup": line_dedup.sql()}
