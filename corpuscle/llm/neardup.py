@@ -32,6 +32,8 @@ from corpuscle.llm.sketch import band_keys, sketch
 from corpuscle.llm.words import Words, mix, prefix, signed, spans, windows
 
 WIDTH, ROWS, BLOCK, STAR = 5, 4, 128, 64
+#: Equal shingles of two texts that are counted at once.
+MEETINGS = 500_000
 PERCENT = 75
 
 
@@ -103,18 +105,19 @@ def _links(rows: pa.Table, percent: int) -> pa.RecordBatch:
     order = np.argsort(flat[asked])
     keys, who = flat[asked][order], owner[asked][order]
     out_a, out_b = [], []
-    asker_at = np.flatnonzero(asker)
-    step = 200_000
     pair_keys, pair_counts = [], []
-    for at in range(0, len(asker_at), step):
-        part = asker_at[at : at + step]
-        lo, hi = np.searchsorted(keys, flat[part], "left"), np.searchsorted(keys, flat[part], "right")
-        size = hi - lo
+    mine, by = flat[asker], owner[asker]
+    low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+    met = np.cumsum(high - low)
+    at = 0
+    while at < len(mine):  # about MEETINGS at a time, whatever the groups hold
+        to = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + MEETINGS, "right")))
+        lo, size = low[at:to], (high - low)[at:to]
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        pair = np.repeat(owner[part], size) * len(sets) + who[np.repeat(lo, size) + inner]
-        k, c = np.unique(pair, return_counts=True)
+        k, c = np.unique(np.repeat(by[at:to], size) * len(sets) + who[np.repeat(lo, size) + inner], return_counts=True)
         pair_keys.append(k)
         pair_counts.append(c)
+        at = to
     if pair_keys:
         pair, back = np.unique(np.concatenate(pair_keys), return_inverse=True)
         both = np.bincount(back, np.concatenate(pair_counts)).astype(np.int64)
