@@ -38,22 +38,27 @@ def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     columns = df.columns
     words = F.filter(F.split(F.col(text), rf"[{common.SPACE_CLASS}]+"), lambda x: x != "")
     runs = F.when(F.size(h) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS).cast("int")
+    # sorted as signed numbers, so that bins ascend from 0
+    bin_of = lambda x: (F.shiftright(x, 64 - BIN_BITS) + BINS // 2).cast("int")
+    low = lambda x: x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")
+    none = lambda n: F.array_repeat(F.lit(None).cast("int"), n)
     least = F.filter(F.col(s), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))
-    by_bin = F.map_from_arrays(F.transform(m, bin_of), F.transform(m, lambda x: x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.try_element_at(by_bin, i))
-    probes = F.array(*[F.array(*map(F.lit, _probe_order(b))) for b in range(BINS)])
-    probed = lambda i: F.get(F.filter(F.transform(F.get(probes, i), lambda j: F.get(d, j)), lambda x: x.isNotNull()), F.lit(0))
+    led = F.flatten(F.transform(m, lambda x, i: F.concat(none(bin_of(x) - F.when(i == 0, 0).otherwise(bin_of(F.get(m, i - 1)) + 1)), F.array(low(x)))))
+    dense = F.when(F.size(m) == BINS, F.transform(m, low)).when(F.size(m) > 0, F.concat(led, none(BINS - 1 - bin_of(F.get(m, F.size(m) - 1))))).otherwise(F.array().cast("array<int>"))
+    orders = [_probe_order(b) for b in range(BINS)]
+    attempts = [F.array(*[F.lit(o[t]) for o in orders]) for t in range(PROBES)]
     any_full = F.get(F.filter(F.col(d), lambda x: x.isNotNull()), F.lit(0))
-    filled = F.when(F.size(m) == 0, F.array().cast("array<int>")).when(F.size(m) == BINS, F.col(d)).otherwise(F.transform(F.col(d), lambda x, i: F.coalesce(x, probed(i), any_full)))
-    steps = ((w, words, ()), (h, F.transform(w, lambda x: F.xxhash64(x)), ()), (s, F.sort_array(runs), ()), (m, least, ()), (d, dense, (m,)), (to, filled, ()))
-    for name, value, still in steps:  # a column of its own for each step that is read more than once
-        df = df.select(*columns, *still, value.alias(name))
+    # coalesce stops at the first full bin
+    filled = F.when((F.size(d) == 0) | ~F.exists(d, lambda x: x.isNull()), F.col(d)).otherwise(F.transform(F.col(d), lambda x, i: F.coalesce(x, *[F.get(d, F.get(a, i)) for a in attempts], any_full)))
+    steps = ((w, words), (h, F.transform(w, lambda x: F.xxhash64(x))), (s, F.sort_array(runs)), (m, least), (d, dense), (to, filled))
+    for name, value in steps:  # a column of its own for each step, since the next reads it more than once
+        df = df.select(*columns, value.alias(name))
     return df
 
 
 def packed(bins: Column) -> Column:
-    return F.array_join(F.transform(bins, lambda x: F.lpad(F.lower(F.hex(x)), LOW_BITS // 4, "0")), "")
+    digits = F.array(*[F.lit(f"{v:0{LOW_BITS // 4}x}") for v in range(1 << LOW_BITS)])
+    return F.array_join(F.transform(bins, lambda x: F.get(digits, x)), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,26 +98,30 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     self_next = chain.filter("copies > 1").select("id", "content", "doc_id", "n_chars", F.explode(F.sequence(F.lit(2), F.col("copies"))).alias("_k"), F.col("id").alias("next_id"), F.col("content").alias("next_content")).drop("_k")
     steps = common.written(spark, chain.select("id", "content", "doc_id", "n_chars", "next_id", "next_content").unionByName(self_next), "steps")
 
-    whole = with_fingerprint(keyed.select("id", "content", "text"), "text", "bins").withColumn("bins", packed(F.col("bins")))
-    first = F.row_number().over(Window.partitionBy("id", "content").orderBy("id"))
-    texts = whole.withColumn("_n", first).filter("_n = 1").drop("_n")
+    # texts move once, whole; both joins below read the same exchange
+    again = F.lag(F.lit(1)).over(Window.partitionBy("id", "content").orderBy("id"))
+    texts = keyed.select("id", "content", "text").withColumn("_again", again).filter("_again is null").drop("_again")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = (
-        texts.join(steps.select(F.col("id").alias("to_id"), F.col("content").alias("to_content"), "n_chars", F.col("next_id").alias("id"), F.col("next_content").alias("content")).distinct(), ["id", "content"])
-        .select(F.col("to_id").alias("id"), F.col("to_content").alias("content"), F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("text").substr(F.lit(1), half).alias("head"), F.col("bins").alias("next_bins"))
-    )
+    wanted = steps.select(F.col("id").alias("to_id"), F.col("content").alias("to_content"), "n_chars", F.col("next_id").alias("id"), F.col("next_content").alias("content")).distinct()
+    heads = texts.join(wanted, ["id", "content"]).select(F.col("to_id").alias("id"), F.col("to_content").alias("content"), F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("text").substr(F.lit(1), half).alias("head"))
     own = texts.join(steps, ["id", "content"]).join(heads, ["id", "content", "next_id", "next_content"])
-    edited = own.select("doc_id", "n_chars", "bins", "next_bins", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - half), "head").alias("edited"))
-    made = with_fingerprint(edited, "edited", "edited_bins").withColumn("edited_bins", packed(F.col("edited_bins")))
-    return made.select(
-        "doc_id",
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("bins").alias("fingerprint"),
-        F.col("edited_bins").alias("edited_fingerprint"),
-        packed_likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"),
-        packed_likeness(F.col("bins"), F.col("next_bins")).alias("near_next"),
+    edited = own.select("id", "content", "doc_id", "n_chars", "next_id", "next_content", "text", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - half), "head").alias("edited"))
+    both = with_fingerprint(with_fingerprint(edited, "text", "bins").drop("text"), "edited", "edited_bins")
+    names = ["id", "content", "doc_id", "n_chars", "next_id", "next_content"]
+    made = common.written(
+        spark,
+        both.select(
+            *names,
+            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            packed(F.col("bins")).alias("fingerprint"),
+            packed(F.col("edited_bins")).alias("edited_fingerprint"),
+            likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"),
+        ),
+        "fingerprints",
     )
+    others = made.select(F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("fingerprint").alias("next_print")).dropDuplicates(["next_id", "next_content"])
+    near_next = packed_likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next")
+    return made.join(others, ["next_id", "next_content"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near_next)
 
 
 def packed_likeness(a: Column, b: Column) -> Column:
