@@ -31,7 +31,9 @@ from corpuscle.llm import common
 from corpuscle.llm.words import RAW, prefix, spans
 
 #: Distinct pieces that a worker keeps; then it starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 1_500_000
+#: Of other fragments than whole words.
+KEPT_FRAGMENTS = 100_000
 #: Texts are encoded in runs of about so many bytes.
 RUN_BYTES = 4 << 20
 _CUT = re.compile(r"[ \n](?=\S)")
@@ -61,6 +63,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Pieces:
+    """Ids of the distinct pieces that a worker has met, in arrays sorted by the pieces' hashes."""
+
+    def __init__(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != keys) if len(self.keys) else np.arange(len(keys))
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """keys: sorted, none of them known."""
+        body, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) >> 2 for x in ids], np.int32)
+        if self.used + len(body) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(len(self.flat) + len(body), np.uint32)))
+        self.flat[self.used : self.used + len(body)] = body
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, (self.used + np.cumsum(size) - size).astype(np.int32))
+        self.size = np.insert(self.size, at, size)
+        self.used += len(body)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return self.start[at], self.size[at]
+
+
 class ForcedBoundaryBPE:
     """Encodes to little-endian unsigned 32-bit ids, and decodes."""
 
@@ -88,12 +118,12 @@ class ForcedBoundaryBPE:
         self.byte_counts = np.array([len(b) for b in self.bytes_of], np.int64)
         self.byte_starts = np.cumsum(self.byte_counts) - self.byte_counts
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.pieces: dict[int, bytes] = {}
+        self.pieces = _Pieces()
         self.fragments: dict[str, bytes] = {}
 
     def _fragment(self, fragment: str) -> bytes:
         if (ids := self.fragments.get(fragment)) is None:
-            if len(self.fragments) >= KEPT_PIECES:
+            if len(self.fragments) >= KEPT_FRAGMENTS:
                 self.fragments.clear()
             ids = self._tokens(fragment)
             if len(fragment) < 64:
@@ -150,16 +180,16 @@ class ForcedBoundaryBPE:
         at = np.flatnonzero(cut)
         start, end = at[:-1], at[1:]
         keys, first, back = np.unique(spans(prefix(RAW[data]), start, end), return_index=True, return_inverse=True)
-        pieces, ids = self.pieces, []
-        if len(pieces) > KEPT_PIECES:
-            pieces.clear()
-        whole = data.tobytes()
-        for key, a, b in zip(keys.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
-            if (got := pieces.get(key)) is None:
-                pieces[key] = got = self._piece(whole[a:b].decode("utf-8", "replace"))
-            ids.append(got)
-        sizes = np.array([len(x) >> 2 for x in ids], np.int64)
-        return gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, back), np.diff(np.concatenate(([0], np.cumsum(sizes[back])))[np.searchsorted(start, offsets)])
+        pieces, whole = self.pieces, data.tobytes()
+        new = pieces.missing(keys)
+        made = [self._piece(whole[a:b].decode("utf-8", "replace")) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+        pieces.add(keys[new], made)
+        begin, size = pieces.of(keys)
+        counts = np.concatenate(([0], np.cumsum(size[back], dtype=np.int64)))
+        out = gathered(pieces.flat, begin, size, back), np.diff(counts[np.searchsorted(start, offsets)])
+        if len(pieces.keys) > KEPT_PIECES:
+            self.pieces = _Pieces()
+        return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return gathered(self.flat, self.byte_starts, self.byte_counts, ids.astype(np.int64)).tobytes()

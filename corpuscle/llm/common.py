@@ -25,6 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once for each application."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # texts are long; a batch of Spark's own size would hold tens of megabytes, several times over
+        spark.conf.set(rows, "1500")
     sc = spark.sparkContext
     if getattr(sc, "_corpuscle_shipped", False):
         return

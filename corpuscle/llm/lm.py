@@ -31,7 +31,7 @@ from corpuscle.llm.words import Words, mix, signed
 END, START = np.uint64(0x5D0C9E8B7A615243), np.uint64(0x1F83D9ABFB41BD6B)
 _BIGRAM = np.uint64(0x9FB21C651E98DF25)
 #: Bigrams that a task counts together.
-BATCH = 3_000_000
+BATCH = 1_500_000
 BIG = 255
 
 
