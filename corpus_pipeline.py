@@ -15,10 +15,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A source is a host and its documents are the pages; boilerplate lines leave the texts."""
-    others = [c for c in docs.columns if c != "text"]
-    done = line_dedup.drop_boilerplate(docs, others, "doc_id", "source", "text")
-    counted = F.when(F.col("n_dropped") > 0, F.length("new_text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", counted).withColumnRenamed("new_text", "text").select(*docs.columns)
+    whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "source", "text")  # its names cannot clash with the operator's
+    done = line_dedup.drop_boilerplate(whole, ["row"], "doc_id", "source", "text")
+    counted = F.when(F.col("n_dropped") > 0, F.length("new_text").cast("long")).otherwise(F.col("row.n_chars"))
+    made = {"text": F.col("new_text"), "n_chars": counted}
+    return done.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def featured(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             for lo, hi, data, offsets in common.chunks(batch.column(len(keep))):
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), pa.array(list(features(data, offsets)), pa.list_(pa.float32()))], names=[*keep, "features"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
@@ -172,7 +172,7 @@ def scored(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -
                 score = trees.score(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

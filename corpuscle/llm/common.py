@@ -73,8 +73,9 @@ def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """What the planner takes for the size of df, to choose a number of buckets."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the planner takes for the size of df, to choose a number of buckets; 1 GB where it cannot tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 1 << 30
 
 
 def bucket_bits(df: DataFrame, each: int = 8 << 20, least: int = 6, most: int = 16) -> int:

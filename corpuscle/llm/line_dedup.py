@@ -92,7 +92,7 @@ def drop_boilerplate(docs: DataFrame, keep: list[str], doc_id: str, host: str, t
             counts = [pa.array(np.concatenate(c).astype(np.int64)) for c in (lines, dropped)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *counts, column], names=[*keep, "n_lines", "n_dropped", "new_text"])
 
-    return docs.select(*keep, F.col(doc_id).cast("long").alias("_id"), F.col(host).cast("string").alias("_host"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(doc_id).cast("long").alias("__id"), F.col(host).cast("string").alias("__host"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def sql(percent: float = PERCENT, least: int = LEAST) -> str:

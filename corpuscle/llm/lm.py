@@ -227,7 +227,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text: str = "text
                 columns = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.n_tokens, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / n))]
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), *columns], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

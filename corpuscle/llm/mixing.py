@@ -107,12 +107,15 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The training mix with the columns of docs: a row for each time a document is taken, cut where the target is reached, in training order."""
     columns = docs.columns
-    found = laid_out(docs, columns, doc_id, source, text, wide=True)
-    taken = found.select(*columns, "size", F.explode("passes").alias("pass"), "_order")
-    whole = F.when(F.col("pass.words") < F.col("size"), first_words(F.col(text), F.col("pass.words").cast("int"))).otherwise(F.col(text))
-    cut = taken.withColumn(text, whole)
+    whole = docs.select(F.struct(*columns).alias("row"), doc_id, source, text)  # its names cannot clash with the plan's
+    found = laid_out(whole, ["row"], doc_id, source, text, wide=True)
+    taken = found.select("row", "size", F.explode("passes").alias("pass"), "_order")
+    body = F.col(f"row.`{text}`")
+    cut = F.when(F.col("pass.words") < F.col("size"), first_words(body, F.col("pass.words").cast("int"))).otherwise(body)
+    made = {text: F.col("_cut")}
     if n_chars in columns:
-        cut = cut.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
+        made[n_chars] = F.length("_cut").cast(docs.schema[n_chars].dataType)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("pass.position"), F.col("_order")]
-    return cut.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*columns)
+    rows = taken.withColumn("_cut", cut).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])

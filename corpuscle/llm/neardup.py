@@ -243,4 +243,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(~found))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_key")).mapInArrow(run, schema)
+    return docs.select("*", F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("__key")).mapInArrow(run, schema)

@@ -91,4 +91,4 @@ def judge(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", host: str =
                 columns[:5] = [c.cast(pa.int64()) for c in columns[:5]]
                 yield pa.RecordBatch.from_arrays([*mine.columns, *columns], names=[*keep, *STATISTICS, "base_failed", "n_removed_words", "kept"])
 
-    return docs.select(*keep, F.col(host).cast("string").alias("_host"), F.col(text).cast("string").alias("_text")).mapInArrow(run, out)
+    return docs.select(*keep, F.col(host).cast("string").alias("__host"), F.col(text).cast("string").alias("__text")).mapInArrow(run, out)

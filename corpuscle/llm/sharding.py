@@ -8,11 +8,10 @@ the same key share a shard; ties in the order of slots are rows that are equal i
 and size; an empty table gives an empty one.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,9 +65,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, key: str = "doc_id", f
     common.ship(docs.sparkSession)
 
     @F.pandas_udf("int")
-    def shard_of(hashed: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def shard_of(hashed: pd.Series) -> pd.Series:
         return pd.Series(jump(hashed.to_numpy().view(np.uint64), shards).astype(np.int32))
 
     placed = docs.withColumn("shard", shard_of(F.xxhash64(F.col(key))))
