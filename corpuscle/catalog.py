@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import drift
 from corpuscle.functions.text import byte_count, count_chars, count_words, languages, nfc
 from corpuscle.operators import bounds, contexts, corpus, fertility, merge, mining, selection, serving, vocab
+from corpuscle.plans.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -284,7 +285,8 @@ left{k} AS MATERIALIZED (SELECT l.* FROM left{k - 1} l ANTI JOIN (SELECT c.lang,
 
 @query(_greedy_sql(3))
 def greedy_select_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covers = selection.coverage(_lines(spark, sf_dir), _shortlist(spark, sf_dir)).cache()
+    covers = selection.coverage(_lines(spark, sf_dir), _shortlist(spark, sf_dir))
+    covers = written(covers, "covers")
     return selection.greedy(covers, 3).select("lang", "step", F.hex("gram").alias("gram"), "gain")
 
 
@@ -567,3 +569,66 @@ def bigram_bits_per_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     nats = n2.join(n1, ["lang", "a"]).groupBy("lang").agg(F.sum(F.col("n") * -F.log((F.col("n") + 0.5) / (F.col("t") + 128))).alias("nats"))
     chars = rows.groupBy("lang").agg(F.sum(count_chars(nfc(F.col("text")))).alias("chars"))
     return nats.join(chars, "lang").select("lang", "chars", F.round(F.col("nats") / F.log(F.lit(2.0)) / F.col("chars"), 6).alias("bits_per_char"))
+
+
+# --- model side: no SQL, since weights come from a generator and floats from matrix products ---
+
+
+def _model_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuscle.functions.text import byte_ids
+
+    found = contexts.first_n(contexts.occurrences(_lines(spark, sf_dir), _small(_candidates(spark, sf_dir), 3).select("lang", "gram")), 12)
+    return found.select(F.concat_ws(":", "lang", F.hex("gram")).alias("token"), byte_ids(F.col("gram")).alias("ids"), byte_ids(F.col("prefix")).alias("prefix"), byte_ids(F.col("suffix")).alias("suffix"))
+
+
+@query()
+def synth_gauss_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for the top candidates and how far they lower the residual."""
+    from corpuscle.plans.model import Decoder, synthesized
+
+    rows = synthesized(_model_contexts(spark, sf_dir), Decoder())
+    return rows.select("token", "n_contexts", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+@query()
+def build_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build for French."""
+    from corpuscle.plans.build import build
+    from corpuscle.plans.model import Decoder
+
+    return build(_table(spark, sf_dir, "documents"), Decoder())
+
+
+@query()
+def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy continuations of each conversation's opening, views mixed."""
+    from corpuscle.functions.text import byte_ids
+    from corpuscle.plans.model import Decoder, generated
+
+    c = _table(spark, sf_dir, "conversations").filter("turn = 0 AND text is not null")
+    view = F.when(F.col("conv_id") % 2 == 0, "base").otherwise("letters")
+    requests = c.select(F.col("conv_id").alias("request"), view.alias("view"), byte_ids(F.substring(F.encode("text", "utf-8"), F.lit(1), F.lit(12))).alias("ids"))
+    out = generated(requests, Decoder(), {"base": list(range(260)), "letters": list(range(4 + 97, 4 + 123))}, 3)
+    return out.select("request", "view", F.array_join("made", ",").alias("made"))
+
+
+@query()
+def stream_prefix_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' turns served as a stream through one cache."""
+    import tempfile
+    import uuid
+
+    from corpuscle.streaming.prefix_cache import serve
+
+    schema = "conv_id long, turn long, role string, text string"
+    path = f"{sf_dir}/conversations.parquet"
+    is_file = spark.read.parquet(path).select("_metadata.file_path").first()[0].endswith("/conversations.parquet")
+    source = spark.readStream.schema(schema)
+    turns = source.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if is_file else source.parquet(path)
+    requests = turns.filter("text is not null").select(F.lit("one").alias("cache"), (F.col("conv_id") * 1000 + F.col("turn")).alias("request"), F.encode("text", "utf-8").alias("ids"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    name = f"prefix-cache-{uuid.uuid4().hex[:12]}"
+    out, at = f"{base}/{name}-out", f"{base}/{name}-state"
+    job = serve(requests).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(out)
