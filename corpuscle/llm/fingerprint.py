@@ -102,10 +102,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     again = F.lag(F.lit(1)).over(Window.partitionBy("id", "content").orderBy("id"))
     texts = keyed.select("id", "content", "text").withColumn("_again", again).filter("_again is null").drop("_again")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    wanted = steps.select(F.col("id").alias("to_id"), F.col("content").alias("to_content"), "n_chars", F.col("next_id").alias("id"), F.col("next_content").alias("content")).distinct()
-    heads = texts.join(wanted, ["id", "content"]).select(F.col("to_id").alias("id"), F.col("to_content").alias("content"), F.col("id").alias("next_id"), F.col("content").alias("next_content"), F.col("text").substr(F.lit(1), half).alias("head"))
-    own = texts.join(steps, ["id", "content"]).join(heads, ["id", "content", "next_id", "next_content"])
-    edited = own.select("id", "content", "doc_id", "n_chars", "next_id", "next_content", "text", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - half), "head").alias("edited"))
+    # a row whose next is its like needs no other text, and every other has one next, so id and content are the whole key
+    to_self = (F.col("id") == F.col("next_id")) & (F.col("content") == F.col("next_content"))
+    wanted = steps.filter(~to_self).select(F.col("id").alias("to_id"), F.col("content").alias("to_content"), "n_chars", F.col("next_id").alias("id"), F.col("next_content").alias("content"))
+    heads = texts.join(wanted, ["id", "content"]).select(F.col("to_id").alias("id"), F.col("to_content").alias("content"), F.col("text").substr(F.lit(1), half).alias("head"))
+    own = texts.join(steps, ["id", "content"]).join(heads, ["id", "content"], "left")
+    head = F.when(to_self, F.col("text").substr(F.lit(1), half)).otherwise(F.col("head"))
+    edited = own.select("id", "content", "doc_id", "n_chars", "next_id", "next_content", "text", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - half), head).alias("edited"))
     both = with_fingerprint(with_fingerprint(edited, "text", "bins").drop("text"), "edited", "edited_bins")
     names = ["id", "content", "doc_id", "n_chars", "next_id", "next_content"]
     made = common.written(
