@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, with the four separators that Java's \s leaves out.
 SPACE = r"[\s\x1C-\x1F\x85\x0B\p{Z}]"
@@ -37,7 +38,7 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LANGUAGES, "lang string, name string, script string, whitespace_delimited boolean")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
