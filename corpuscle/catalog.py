@@ -246,7 +246,7 @@ covers AS (SELECT DISTINCT lang, gram, doc_id, pos, slot FROM (SELECT *, unnest(
 
 
 def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _small(_candidates(spark, sf_dir), SHORT).select("lang", "gram")
+    return written(_small(_candidates(spark, sf_dir), SHORT).select("lang", "gram"), "short")  # read more than once
 
 
 @query(f"WITH {SHORTLIST}, {COVERS} SELECT lang, count(DISTINCT (doc_id, pos, slot)) AS covered, count(*) AS slots_of_candidates FROM covers GROUP BY lang")

@@ -15,8 +15,9 @@ def occurrences(rows: DataFrame, candidates: DataFrame, before: int = BEFORE, af
     for n in lengths:
         body = rows.select("lang", "doc_id", "pos", F.encode("text", "utf-8").alias("body")).filter(F.octet_length("body") >= n)
         at = F.explode(F.sequence(F.lit(1), F.octet_length("body") - n + 1))
-        placed = body.select("*", at.alias("at")).select("*", F.substring("body", F.col("at"), F.lit(n)).alias("gram"))
-        hits = placed.join(candidates.select("lang", "gram"), ["lang", "gram"])
+        # the lines themselves join only the occurrences, not every position
+        placed = body.select("lang", "doc_id", "pos", "body", at.alias("at")).select("lang", "doc_id", "pos", "at", F.substring("body", F.col("at"), F.lit(n)).alias("gram"))
+        hits = placed.join(candidates.select("lang", "gram"), ["lang", "gram"]).join(body, ["lang", "doc_id", "pos"])
         start = F.greatest(F.lit(1), F.col("at") - before)
         made = hits.select("lang", "gram", "doc_id", "pos", "at", F.substring("body", start, F.col("at") - start).alias("prefix"), F.substring("body", F.col("at") + n, F.lit(after)).alias("suffix"))
         out = made if out is None else out.unionByName(made)
