@@ -92,3 +92,24 @@ def judge(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", host: str =
                 yield pa.RecordBatch.from_arrays([*mine.columns, *columns], names=[*keep, *STATISTICS, "base_failed", "n_removed_words", "kept"])
 
     return docs.select(*keep, F.col(host).cast("string").alias("__host"), F.col(text).cast("string").alias("__text")).mapInArrow(run, out)
+
+
+def sql() -> str:
+    """judge() over the table documents, for DuckDB."""
+    word, lower = r"[^\x20\x09-\x0D]", "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+s AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT *, regexp_replace(regexp_replace({lower}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS norm, len(regexp_extract_all(line, '{word}+')) AS k FROM s WHERE regexp_matches(line, '{word}')),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g), (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY doc_id),
+f AS (SELECT source, norm, count(DISTINCT text) AS n, min_by(text, doc_id) AS keeper FROM l GROUP BY source, norm),
+t AS (SELECT source, count(DISTINCT text) AS total FROM d GROUP BY source),
+b AS (SELECT f.source, norm, keeper FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source WHERE n >= {LINE_LEAST} AND n * 100 > total * {LINE_PERCENT}),
+m AS (SELECT l.doc_id, CAST(sum(k) AS BIGINT) AS gone FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.norm = b.norm WHERE b.keeper <> l.text GROUP BY l.doc_id),
+j AS (SELECT a.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0) AS n_removed_words FROM a LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_words - n_removed_words) * 100 >= {LEFT_PERCENT} * n_words AS kept FROM j"""

@@ -55,4 +55,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_bpe, op3_repair, op4_sharding, op5_lm, op6_neardup, op7_classifier, op8_mixing, op9_line_dedup, op10_fingerprint)}
-SQL: dict[str, str] = {"op9_line_dedup": line_dedup.sql()}
+SQL: dict[str, str] = {"op1_quality": quality.sql(), "op9_line_dedup": line_dedup.sql()}
