@@ -57,7 +57,7 @@ COST = f"""s AS (SELECT lang, count(*) AS n_sentences, CAST(sum(strlen(text)) AS
 p AS (SELECT greatest(1, coalesce(sum(total_tokens), 0)) AS pt FROM s WHERE lang = 'en')
 SELECT lang, n_sentences, total_tokens, total_chars, total_words, total_tokens / greatest(1, total_chars) AS tokens_per_char,
        CASE WHEN total_words > 0 THEN total_tokens / total_words END AS tokens_per_word,
-       CASE WHEN lang <> 'en' THEN total_tokens / pt END AS parity_ratio,
+       CASE WHEN lang <> 'en' THEN total_tokens / pt END AS cost_ratio,
        CASE WHEN lang <> 'en' AND total_tokens > 0 THEN 1 / (total_tokens / pt) END AS effective_context FROM s, p"""
 
 
@@ -70,7 +70,7 @@ def token_cost_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.cost(rows, byte_count(F.col("text")), count_chars(F.col("nfc")), count_words(F.col("nfc")))
 
 
-@query(f"WITH {PAIRS} SELECT lang, count(*) AS n_pairs, quantile_cont(strlen(text) / strlen(pivot_text), 0.5) AS parity_ratio_median FROM pairs WHERE strlen(pivot_text) > 0 GROUP BY lang")
+@query(f"WITH {PAIRS} SELECT lang, count(*) AS n_pairs, quantile_cont(strlen(text) / strlen(pivot_text), 0.5) AS cost_ratio_median FROM pairs WHERE strlen(pivot_text) > 0 GROUP BY lang")
 def token_cost_ratio_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.numbered(_lines(spark, sf_dir))
     return fertility.median_ratio(corpus.aligned(rows), byte_count(F.col("text")), byte_count(F.col("pivot_text")))
@@ -541,14 +541,14 @@ def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, k AS (SELECT 'byte' AS tokenizer, lang, strlen(text) AS t FROM lines UNION ALL SELECT 'pack', lang, {MERGED} FROM lines), s AS (SELECT tokenizer, lang, CAST(sum(t) AS BIGINT) AS total_tokens FROM k GROUP BY ALL)
-SELECT a.tokenizer, a.lang, a.total_tokens, CASE WHEN a.lang <> 'en' THEN a.total_tokens / b.total_tokens END AS parity_ratio FROM s a JOIN s b ON a.tokenizer = b.tokenizer AND b.lang = 'en'""")
+SELECT a.tokenizer, a.lang, a.total_tokens, CASE WHEN a.lang <> 'en' THEN a.total_tokens / b.total_tokens END AS cost_ratio FROM s a JOIN s b ON a.tokenizer = b.tokenizer AND b.lang = 'en'""")
 def atlas_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tokenizer with every language, each against English under the same tokenizer."""
     rows = _lines(spark, sf_dir)
     both = F.explode(F.array(F.struct(F.lit("byte").alias("tokenizer"), byte_count(F.col("text")).alias("t")), F.struct(F.lit("pack").alias("tokenizer"), merge.merged_size(F.encode("text", "utf-8"), MERGES).alias("t")))).alias("k")
     s = rows.select("lang", both).groupBy("k.tokenizer", "lang").agg(F.sum("k.t").alias("total_tokens"))
     pivot = s.filter("lang = 'en'").select("tokenizer", F.col("total_tokens").alias("p"))
-    return s.join(F.broadcast(pivot), "tokenizer").select("tokenizer", "lang", "total_tokens", F.when(F.col("lang") != "en", F.col("total_tokens") / F.col("p")).alias("parity_ratio"))  # a row for each tokenizer
+    return s.join(F.broadcast(pivot), "tokenizer").select("tokenizer", "lang", "total_tokens", F.when(F.col("lang") != "en", F.col("total_tokens") / F.col("p")).alias("cost_ratio"))  # a row for each tokenizer
 
 
 @query("SELECT sha256('[\"260\",\"104,105\",\"233\"]') AS fingerprint")

@@ -24,7 +24,7 @@ def cost(rows: DataFrame, tokens: Column, chars: Column, words: Column, pivot: s
         "total_words",
         (F.col("total_tokens") / F.greatest(F.lit(1), "total_chars")).alias("tokens_per_char"),
         F.when(F.col("total_words") > 0, F.col("total_tokens") / F.col("total_words")).alias("tokens_per_word"),
-        ratio.alias("parity_ratio"),
+        ratio.alias("cost_ratio"),
         F.when(ratio > 0, 1 / ratio).alias("effective_context"),
     )
 
@@ -32,7 +32,7 @@ def cost(rows: DataFrame, tokens: Column, chars: Column, words: Column, pivot: s
 def median_ratio(pairs: DataFrame, tokens: Column, pivot_tokens: Column) -> DataFrame:
     """The exact median of the ratios of aligned lines whose pivot has tokens."""
     both = pairs.select("lang", tokens.alias("t"), pivot_tokens.alias("p")).filter(F.col("p") > 0)
-    return both.groupBy("lang").agg(F.count("*").alias("n_pairs"), F.percentile(F.col("t") / F.col("p"), 0.5).alias("parity_ratio_median"))
+    return both.groupBy("lang").agg(F.count("*").alias("n_pairs"), F.percentile(F.col("t") / F.col("p"), 0.5).alias("cost_ratio_median"))
 
 
 def reduction(before: Column, after: Column, new_rows: Column) -> list[Column]:
