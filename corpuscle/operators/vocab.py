@@ -30,3 +30,14 @@ def masks(vocab: DataFrame, named: DataFrame, base_size: int) -> DataFrame:
 def fingerprint(parts: list[Column]) -> Column:
     """SHA-256 of a canonical JSON array."""
     return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
+def byte_fragments(ids: Column, expansions: Column) -> Column:
+    """How many tokens of a sequence are no text by themselves; expansions: a map from id to its bytes."""
+    return F.size(F.filter(ids, lambda i: ~F.is_valid_utf8(F.try_element_at(expansions, i).cast("string"))))
+
+
+def request_body(requests: DataFrame, closed: DataFrame) -> DataFrame:
+    """request, body: the JSON that an engine is sent, ids and the ids that the view closes."""
+    banned = closed.filter(F.col("logit") != 0).groupBy("view").agg(F.sort_array(F.collect_list("new_id")).alias("banned"))  # a pack's ids
+    return requests.join(banned, "view", "left").select("request", F.to_json(F.struct("ids", F.coalesce("banned", F.array().cast("array<bigint>")).alias("banned"))).alias("body"))
