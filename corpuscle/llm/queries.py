@@ -47,6 +47,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     read = pages.select("page_id", line_dedup.page_host(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("text"))
+    read = common.written(spark, read, "page-text")  # both passes read the text, and taking it from the markup is most of the work
     return line_dedup.drop_boilerplate(read, ["page_id", "host"], "page_id", "host", "text")
 
 
