@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.operators.merge import merged_size
-from corpuscle.operators.mining import runs
 
 
 def coverage(rows: DataFrame, candidates: DataFrame) -> DataFrame:
