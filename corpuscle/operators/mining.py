@@ -13,11 +13,20 @@ from pyspark.sql import functions as F
 from corpuscle.functions.text import byte_tokens, count_alnum
 
 
+def _bodies(rows: DataFrame, n: int) -> DataFrame:
+    return rows.select("lang", byte_tokens(F.col("text")).alias("body")).filter(F.octet_length("body") >= n)
+
+
 def runs(rows: DataFrame, n: int) -> DataFrame:
-    """lang, line, gram: each run of n byte tokens; lines are (doc_id, pos)."""
-    body = rows.select("lang", F.struct("doc_id", "pos").alias("line"), byte_tokens(F.col("text")).alias("body")).filter(F.octet_length("body") >= n)
+    """lang, gram: each run of n byte tokens inside a line."""
     at = F.explode(F.sequence(F.lit(1), F.octet_length("body") - n + 1))
-    return body.select("lang", "line", "body", at.alias("at")).select("lang", "line", F.substring("body", F.col("at"), F.lit(n)).alias("gram"))
+    return _bodies(rows, n).select("lang", "body", at.alias("at")).select("lang", F.substring("body", F.col("at"), F.lit(n)).alias("gram"))
+
+
+def runs_once(rows: DataFrame, n: int) -> DataFrame:
+    """lang, gram: each run of n byte tokens once for each line that has it. A line is one row, so this needs no shuffle."""
+    found = F.transform(F.sequence(F.lit(1), F.octet_length("body") - n + 1), lambda i: F.hex(F.substring("body", i, F.lit(n))))
+    return _bodies(rows, n).select("lang", F.explode(F.array_distinct(found)).alias("h")).select("lang", F.unhex("h").alias("gram"))
 
 
 def threshold(rows: DataFrame, least: int = 3, shortest: int = 2) -> DataFrame:
@@ -26,22 +35,24 @@ def threshold(rows: DataFrame, least: int = 3, shortest: int = 2) -> DataFrame:
 
 
 def level(grams: DataFrame, limits: DataFrame, docs_least: int = 2) -> DataFrame:
-    """lang, gram, n_occurrences, n_docs of the frequent runs."""
-    by_line = grams.groupBy("lang", "gram", "line").agg(F.count("*").alias("k"))
-    counts = by_line.groupBy("lang", "gram").agg(F.sum("k").alias("n_occurrences"), F.count("*").alias("n_docs"))
+    """lang, gram, n_occurrences, n_docs of the frequent runs; grams has a row for each occurrence, and one marked `once` for each line."""
+    counts = grams.groupBy("lang", "gram").agg(F.count_if(~F.col("once")).alias("n_occurrences"), F.count_if(F.col("once")).alias("n_docs"))
     return counts.join(limits, "lang").filter((F.col("n_occurrences") >= F.col("min_count")) & (F.col("n_docs") >= docs_least)).drop("min_count")
 
 
+def _both(rows: DataFrame, n: int) -> DataFrame:
+    return runs(rows, n).withColumn("once", F.lit(False)).unionByName(runs_once(rows, n).withColumn("once", F.lit(True)))
+
+
 def mine(rows: DataFrame, longest: int, least: int = 3) -> DataFrame:
     """Frequent runs of 2 to `longest` tokens."""
     limits = threshold(rows, least)
-    found = level(runs(rows, 2), limits)
+    found = level(_both(rows, 2), limits)
     out = found
     for n in range(3, longest + 1):
         known = found.select("lang", "gram")
-        grams = runs(rows, n)
+        grams = _both(rows, n)
         head, tail = F.substring("gram", F.lit(1), F.lit(n - 1)), F.substring("gram", F.lit(2), F.lit(n - 1))
-        # count_distinct below is over what is left after both filters
         for part in (head, tail):
             grams = grams.withColumn("_part", part).join(known.withColumnRenamed("gram", "_part"), ["lang", "_part"], "left_semi").drop("_part")
         found = level(grams, limits)
