@@ -1,7 +1,8 @@
 """Token-id files, compressed by a Re-Pair grammar.
 
 Ids are written in ascending doc_id order, in blocks. In each block, frequent pairs of adjacent
-ids are replaced by nonterminals, round by round. A round takes many pairs at once: in
+ids are replaced by nonterminals, round by round, until no pair is frequent; all pairs are
+counted exactly. A round takes many pairs at once: in
 descending count, those whose symbols cannot overlap with the ones taken before (no symbol is
 the left part of one and the right part of another), so all replacements of a round are those
 that one-at-a-time Re-Pair would make for them. A block holds the rules, the length that each
@@ -31,14 +32,9 @@ from corpuscle.llm import bpe, common
 
 MAGIC = b"REPAIR1\n"
 FILE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, grammar binary"
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
-    return ((pairs * _ODD) >> np.uint64(64 - bits)).view(np.int64)
-
-
-def _taken(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+def _taken(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The pairs of a round, in descending count (ties: ascending pair)."""
     role: dict[int, int] = {}  # 1: left part, 2: right part, 3: both parts of one pair
     out = []
@@ -54,34 +50,34 @@ def _taken(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
                 continue
             role[a], role[b] = 1, 2
         out.append(key)
-        if len(out) == most:
-            break
     return np.array(out, np.uint64)
 
 
-def compress(ids: np.ndarray, first_free: int, rounds: int = 3, a_round: int = 3072, share: float = 2e-5, least: int = 8, bits: int = 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Remaining sequence, rules (left, right), expansion lengths; rule k is symbol first_free + k."""
+def compress(ids: np.ndarray, first_free: int, rounds: int | None = None, share: float = 2e-5, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Remaining sequence, rules (left, right), expansion lengths; rule k is symbol first_free + k.
+
+    Without `rounds`, until no pair of the sequence left stands `least` times and in `share` of it.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     free = first_free
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and (rounds is None or len(rules) < rounds):
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        # one pair stands for each hashed slot and is counted exactly; others of the slot wait for a later round
-        slot = _slots(pairs, bits)
-        stands = np.zeros(1 << bits, np.uint64)
-        stands[slot] = pairs
-        own = stands[slot] == pairs
-        counts = np.bincount(slot[own], minlength=1 << bits)
-        many = np.flatnonzero(counts >= max(least, int(share * len(seq))))
-        chosen = _taken(stands[many], counts[many], a_round)
+        ordered = np.sort(pairs)
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(starts, append=len(ordered))
+        many = counts >= max(least, int(share * len(seq)))
+        chosen = _taken(ordered[starts[many]], counts[many])
         if not len(chosen):
             break
-        names = np.zeros(1 << bits, np.uint32)
-        names[_slots(chosen, bits)] = np.arange(free, free + len(chosen))
-        at = np.flatnonzero(names[slot].astype(bool) & own)
-        name = names[slot[at]]
+        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        is_left, is_right = np.zeros(free, bool), np.zeros(free, bool)
+        is_left[left], is_right[right] = True, True
+        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
+        by = np.argsort(chosen)
+        place = np.minimum(np.searchsorted(chosen[by], pairs[at]), len(by) - 1)
+        hit = chosen[by[place]] == pairs[at]
+        at, name = at[hit], (free + by[place[hit]]).astype(np.uint32)
         same = seq[at] == seq[at + 1]
         if same.any():  # in a run of one symbol, every second position, counted from the run's start
             runs = at[same]
@@ -95,7 +91,7 @@ def compress(ids: np.ndarray, first_free: int, rounds: int = 3, a_round: int = 3
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
+        rules.append(np.stack([left, right], 1))
         free += len(chosen)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, made, lengths(made, first_free)

@@ -76,6 +76,18 @@ def test_grammar_makes_rules_of_runs():
     assert len(g.seq) < 20 and g.n_tokens == 144
 
 
+def test_grammar_leaves_no_frequent_pair():
+    r = np.random.default_rng(5)
+    passage = r.integers(0, 3000, 200)
+    parts = [x for k in range(40) for x in (passage, r.integers(0, 3000, 50))]
+    ids = np.concatenate([*parts, r.zipf(1.3, 60_000) % 3000]).astype(np.uint32)
+    seq, rules, sizes = repair.compress(ids, 3000)
+    _, counts = np.unique((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:], return_counts=True)
+    assert counts.max() < max(8, int(2e-5 * len(seq)))
+    assert sizes.max() >= 200  # the passage is one symbol, or part of one
+    assert (repair.Grammar(repair.pack(ids, 3000)).all() == ids).all()
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     repair.write_ids(docs, path := f"{tmp_path}/ids", block_tokens=500)
     got = sorted(repair.read_ids(spark, path, with_ids=True).collect(), key=lambda r: r.start)
