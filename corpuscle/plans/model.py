@@ -56,8 +56,8 @@ class Decoder:
         half = x.shape[-1] // 2
         angle = at[:, None, :, None] * self.shape.base ** (-np.arange(half) / half)
         a, b = x[..., ::2], x[..., 1::2]
-        out = np.empty_like(x)
-        out[..., ::2], out[..., 1::2] = a * np.cos(angle) - b * np.sin(angle), a * np.sin(angle) + b * np.cos(angle)
+        cos, sin, out = np.cos(angle), np.sin(angle), np.empty_like(x)
+        out[..., ::2], out[..., 1::2] = a * cos - b * sin, a * sin + b * cos
         return out
 
     def forward(self, x: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +91,51 @@ class Decoder:
         lp = log_softmax(z[0, :-1])
         return float(lp[np.arange(len(ids)), ids].sum())
 
+    def ahead(self, x: np.ndarray, mask: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], span: int = 32) -> np.ndarray:
+        """Logits after the last position of a batch; x: rows of the new positions, mask: of all positions, held: keys and values of the positions before, which the new ones join.
+
+        The last layer is computed for the last position alone, and `span` positions attend at once.
+        """
+        n, new, d = x.shape
+        h, each = self.shape.heads, d // self.shape.heads
+        at = np.maximum(np.cumsum(mask, 1) - 1, 0)[:, -new:]
+        for layer, b in enumerate(self.blocks):
+            part = lambda y, w: (y @ b[w]).reshape(n, -1, h, each).transpose(0, 2, 1, 3)  # noqa: B023, E731
+            y = self.norm(x)
+            k, v = self.rotate(part(y, "k"), at), part(y, "v")
+            if layer < len(held):
+                k, v = np.concatenate((held[layer][0], k), 2), np.concatenate((held[layer][1], v), 2)
+                held[layer] = k, v
+            else:
+                held.append((k, v))
+            if layer == len(self.blocks) - 1:
+                x, y, at = x[:, -1:], y[:, -1:], at[:, -1:]
+            first, made = mask.shape[1] - x.shape[1], np.empty_like(x)
+            for lo in range(0, x.shape[1], span):
+                hi = min(lo + span, x.shape[1])
+                see = (np.arange(first + hi) <= first + np.arange(lo, hi)[:, None])[None] & mask[:, None, : first + hi]
+                score = (self.rotate(part(y[:, lo:hi], "q"), at[:, lo:hi]) / np.sqrt(each)) @ k[:, :, : first + hi].transpose(0, 1, 3, 2)
+                np.copyto(score, -1e30, where=~see[:, None])
+                score -= score.max(-1, keepdims=True)
+                p = np.exp(score, out=score)
+                made[:, lo:hi] = (p @ v[:, :, : first + hi] / p.sum(-1, keepdims=True)).transpose(0, 2, 1, 3).reshape(n, hi - lo, d)
+            x = x + made @ b["o"]
+            y = self.norm(x)
+            g = y @ b["gate"]
+            x = x + (g / (1 + np.exp(-g)) * (y @ b["up"])) @ b["down"]
+        return self.norm(x[:, -1]) @ self.unembed.T
+
     def generate(self, prompts: list[list[int]], open_ids: list[np.ndarray], steps: int) -> list[list[int]]:
         """Greedy continuations of a batch, padded on the left; each row under its own view."""
-        out: list[list[int]] = [[] for _ in prompts]
-        seqs = [list(p) or [0] for p in prompts]
+        seqs = [np.asarray(p, int) if len(p) else np.zeros(1, int) for p in prompts]
+        may, wide = np.array(open_ids), max(map(len, seqs))
+        mask = np.arange(wide) >= wide - np.array([len(s) for s in seqs])[:, None]
+        x, out, held = np.zeros((len(seqs), wide, self.shape.d)), [], []
+        x[mask] = self.rows(np.concatenate(seqs))
         for _ in range(steps):
-            wide = max(map(len, seqs))
-            mask = np.array([[False] * (wide - len(s)) + [True] * len(s) for s in seqs])
-            x = np.stack([np.concatenate((np.zeros((wide - len(s), self.shape.d)), self.rows(s))) for s in seqs])
-            z = self.forward(x, mask)[0][:, -1]
-            for k, (row, may) in enumerate(zip(z, open_ids, strict=True)):
-                token = int(np.where(may, row, -np.inf).argmax())
-                out[k].append(token)
-                seqs[k].append(token)
-        return out
+            out.append(np.where(may, self.ahead(x, mask, held), -np.inf).argmax(1))
+            x, mask = self.rows(out[-1])[:, None], np.pad(mask, ((0, 0), (0, 1)), constant_values=True)
+        return np.stack(out, 1).tolist() if out else [[] for _ in prompts]
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -196,8 +227,8 @@ def measured(contexts: DataFrame, rows: DataFrame, model: Decoder) -> DataFrame:
     return joined.mapInPandas(run, "token string, kl double, tv double, linf double")
 
 
-def generated(requests: DataFrame, model: Decoder, views: dict[str, list[int]], steps: int = 4, batch: int = 32) -> DataFrame:
-    """requests: request, view, ids. Continuations of all requests, views mixed in a batch."""
+def generated(requests: DataFrame, model: Decoder, views: dict[str, list[int]], steps: int = 4, cells: int = 1 << 13) -> DataFrame:
+    """requests: request, view, ids. Continuations of all requests, views mixed in a batch; a batch is requests of like length, of `cells` ids in all with their padding, or one request."""
     held = requests.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +237,12 @@ def generated(requests: DataFrame, model: Decoder, views: dict[str, list[int]],
             may[name] = np.zeros(held.value.shape.vocab, bool)
             may[name][ids] = True
         for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.iloc[at : at + batch]
-                made = held.value.generate([list(x) for x in part["ids"]], [may[v] for v in part["view"]], steps)
+            b = b.iloc[np.argsort(-b["ids"].map(len).to_numpy(), kind="stable")]
+            at = 0
+            while at < len(b):
+                part = b.iloc[at : at + max(1, cells // max(1, len(b["ids"].iloc[at])))]
+                at += len(part)
+                made = held.value.generate(list(part["ids"]), [may[v] for v in part["view"]], steps)
                 yield pd.DataFrame({"request": part["request"].to_numpy(), "view": part["view"].to_numpy(), "made": made})
 
     return requests.mapInPandas(run, "request long, view string, made array<int>")

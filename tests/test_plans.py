@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle.catalog import QUERIES
 from corpuscle.plans.model import Decoder, Shape, compose, drift_of, synthesize
 from corpuscle.streaming.prefix_cache import Cache, serve
 
@@ -17,6 +18,26 @@ def test_batch_equals_alone():
     assert all(t % 2 for t in together[1] + together[2])
 
 
+def test_generation_reads_whole_prompts():
+    r = np.random.default_rng(3)
+    prompts = [r.integers(0, 40, n).tolist() for n in (1, 130, 300, 129)]
+    made = MODEL.generate(prompts, [np.ones(40, bool)] * 4, 3)
+    for p, m in zip(prompts, made, strict=True):
+        seq = list(p)
+        for token in m:  # without a cache
+            assert token == MODEL.forward(MODEL.rows(seq)[None])[0][0, -1].argmax()
+            seq.append(token)
+
+
+def test_generate_batch_uses_every_turn_whole(spark, tmp_path):
+    rows = [(k, t, "user", f"the same opening {'abc' * (20 * k + t)} {k}{t} end") for k in range(4) for t in range(3)] + [(9, 0, "user", None), (9, 1, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.request: r.made for r in QUERIES["generate_batch"](spark, str(tmp_path)).collect()}
+    model, may = Decoder(), {0: np.ones(260, bool), 1: np.isin(np.arange(260), np.arange(101, 127))}
+    want = {k * 1000 + t: model.generate([[b + 4 for b in text.encode()]], [may[k % 2]], 3)[0] for k, t, _, text in rows if text is not None}
+    assert got == {k: ",".join(map(str, m)) for k, m in want.items()}
+
+
 def test_appending_keeps_rows_and_logits():
     new = MODEL.appended(np.ones((2, 16)), np.ones((2, 16)))
     assert (new.embed[:40] == MODEL.embed).all() and new.shape.vocab == 42 and new.n_params == MODEL.n_params + 64
