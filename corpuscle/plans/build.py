@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.text import N_SPECIAL, byte_ids
 from corpuscle.operators import bounds, contexts, corpus, mining, selection
-from corpuscle.plans.model import Decoder, measured, synthesized
+from corpuscle.plans.model import Decoder, measured, off_context, synthesized
 from corpuscle.plans.tables import written
 
 
@@ -25,6 +25,8 @@ class Plan:
     least_n: int = 8
     max_kl: float = 5.0
     max_tv: float = 0.95
+    max_off: float = 0.05
+    off_positions: int = 512
 
 
 def _placed(rows: DataFrame, short: DataFrame, n: int) -> DataFrame:
@@ -32,10 +34,23 @@ def _placed(rows: DataFrame, short: DataFrame, n: int) -> DataFrame:
     return found.select(F.hex("gram").alias("token"), byte_ids(F.col("gram")).alias("ids"), byte_ids(F.col("prefix")).alias("prefix"), byte_ids(F.col("suffix")).alias("suffix"))
 
 
+def negatives(lines: DataFrame, n: int, before: int = 128, after: int = 8) -> DataFrame:
+    """prefix, following: n positions of the lines, each position as likely as any other, by hashes of the lines' places."""
+    unit = lambda seed: (F.pmod(F.xxhash64("doc_id", "pos", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    places = F.octet_length("text") - 1
+    # the least of -log(u) / weight are a sample by weight, here by the positions of a line
+    drawn = lines.filter(places > 0).orderBy(-F.log(unit(1)) / places, "doc_id", "pos").limit(n)
+    at = drawn.select(F.encode("text", "utf-8").alias("body"), (F.floor(unit(2) * places) + 1).cast("int").alias("at"))
+    start = F.greatest(F.lit(1), F.col("at") - before + 1)
+    return at.select(byte_ids(F.substring("body", start, F.col("at") - start + 1)).alias("prefix"), byte_ids(F.substring("body", F.col("at") + 1, F.lit(after))).alias("following"))
+
+
 def build(docs: DataFrame, model: Decoder, plan: Plan = Plan()) -> DataFrame:
     """lang, rank, gram_hex, n_occurrences, accepted, reason, kl_bound, residual_reduction, selected_step of each short-listed candidate.
 
-    Mining, fitting, certification and selection each see their own slice of the corpus.
+    Mining, fitting, certification and selection each see their own slice of the corpus. What a
+    token would take out of context is bounded on positions of the other languages' lines and of
+    the certification slice.
     """
     assert model.shape.vocab >= 256 + N_SPECIAL
     rows = written(corpus.split(corpus.numbered(corpus.lines(docs).filter(F.col("lang") == plan.lang))), "lines")
@@ -45,8 +60,12 @@ def build(docs: DataFrame, model: Decoder, plan: Plan = Plan()) -> DataFrame:
     drift = written(measured(_placed(part("certify"), short, plan.contexts_each), fitted, model), "drift")
     kl = bounds.conformal(drift, "token", "kl", plan.alpha, plan.delta)
     tv = bounds.conformal(drift, "token", "tv", plan.alpha, plan.delta).select("token", F.col("bound").alias("tv"))
-    reason = bounds.decision(F.coalesce("n", F.lit(0)), F.col("bound"), F.col("tv"), F.lit(0.0), F.lit(0.0), least_n=plan.least_n, max_kl=plan.max_kl, max_tv=plan.max_tv, max_off=1.0, max_emit=1.0, input_only=True)
-    judged = written(short.withColumn("token", F.hex("gram")).join(kl, "token", "left").join(tv, "token", "left").join(fitted.select("token", "before", "after"), "token", "left").withColumn("reason", reason), "judged")
+    others = corpus.lines(docs).filter(F.col("lang") != plan.lang).select("doc_id", "lang", "pos", "text")
+    probe = written(negatives(others.unionByName(part("certify")), plan.off_positions, after=max(8, plan.longest)), "negatives")
+    fired = written(off_context(probe, fitted.join(short.select(F.hex("gram").alias("token"), byte_ids(F.col("gram")).alias("ids")), "token"), model), "off")
+    off = bounds.conformal(fired, "token", "mass", plan.alpha, plan.delta).select("token", F.col("bound").alias("off"))
+    reason = bounds.decision(F.coalesce("n", F.lit(0)), F.col("bound"), F.col("tv"), F.col("off"), F.lit(0.0), least_n=plan.least_n, max_kl=plan.max_kl, max_tv=plan.max_tv, max_off=plan.max_off, max_emit=1.0, input_only=True)
+    judged = written(short.withColumn("token", F.hex("gram")).join(kl, "token", "left").join(tv, "token", "left").join(off, "token", "left").join(fitted.select("token", "before", "after"), "token", "left").withColumn("reason", reason), "judged")
     good = judged.filter(F.col("reason").isNull()).select("lang", "gram")
     if good.isEmpty():
         steps = docs.sparkSession.createDataFrame([], "lang string, step int, gram binary, gain long")

@@ -187,6 +187,29 @@ def synthesize(model: Decoder, ids: list[int], contexts: list[tuple[list[int], l
     return row, before, now
 
 
+def output_row(model: Decoder, ids: list[int], prefixes: list[list[int]], ridge: float = 0.1, trust: float = 1.0) -> np.ndarray:
+    """The row by which a run's token would be emitted with the probability of the whole run, fitted by ridge regression around the row of the run's first id."""
+    anchor = model.unembed[ids[0]]
+    states, wanted = [], []
+    for p in prefixes:
+        if p:
+            z, last = model.forward(np.concatenate((model.rows(p), model.rows(ids)))[None])
+            at = np.arange(len(ids)) + len(p) - 1
+            log_p = float(log_softmax(z[0, at])[np.arange(len(ids)), ids].sum())
+            states.append(last[0, at[0]])
+            wanted.append(log_p + log_total(z[0, at[0]]) - np.log1p(-min(np.exp(log_p), 1 - 1e-12)))
+    if len(states) < 2:
+        return anchor.copy()
+    h = np.stack(states)
+    weight = ridge * (h * h).sum(1).mean() * max(1.0, h.shape[1] / len(h))
+    delta = np.linalg.solve(h.T @ h + weight * np.eye(h.shape[1]), h.T @ (np.array(wanted) - h @ anchor))
+    return anchor + delta * min(1.0, trust * np.linalg.norm(anchor) / max(np.linalg.norm(delta), 1e-12))
+
+
+def log_total(z: np.ndarray) -> float:
+    return float(z.max() + np.log(np.exp(z - z.max()).sum()))
+
+
 def drift_of(model: Decoder, row: np.ndarray, ids: list[int], p: list[int], s: list[int]) -> tuple[float, float, float]:
     """KL, TV and sup norm of the next token's distribution after the run and after its row."""
     z = model.forward(np.concatenate((model.rows(p), model.rows(ids)))[None])[0][0, -1]
@@ -195,7 +218,7 @@ def drift_of(model: Decoder, row: np.ndarray, ids: list[int], p: list[int], s: l
     return max(0.0, float((np.exp(lp) * (lp - lq)).sum())), float(0.5 * np.abs(np.exp(lp) - np.exp(lq)).sum()), float(np.abs(z - z2).max())
 
 
-SYNTHESIZED = "token string, row array<double>, before double, after double, n_contexts long"
+SYNTHESIZED = "token string, row array<double>, out_row array<double>, before double, after double, n_contexts long"
 
 
 def synthesized(contexts: DataFrame, model: Decoder, most: int = 16) -> DataFrame:
@@ -206,10 +229,11 @@ def synthesized(contexts: DataFrame, model: Decoder, most: int = 16) -> DataFram
         rows = rows.sort_values(["prefix", "suffix"], key=lambda c: c.map(lambda x: tuple(x))).head(most)
         ids = list(rows["ids"].iloc[0])
         found = _contexts([list(x) for x in rows["prefix"]], [list(x) for x in rows["suffix"]])
+        names = ["token", "row", "out_row", "before", "after", "n_contexts"]
         if not found:
-            return pd.DataFrame([], columns=["token", "row", "before", "after", "n_contexts"])
+            return pd.DataFrame([], columns=names)
         row, before, after = synthesize(held.value, ids, found)
-        return pd.DataFrame([(rows["token"].iloc[0], row.tolist(), before, after, len(found))], columns=["token", "row", "before", "after", "n_contexts"])
+        return pd.DataFrame([(rows["token"].iloc[0], row.tolist(), output_row(held.value, ids, [p for p, _ in found]).tolist(), before, after, len(found))], columns=names)
 
     return contexts.groupBy("token").applyInPandas(run, SYNTHESIZED)
 
@@ -227,6 +251,26 @@ def measured(contexts: DataFrame, rows: DataFrame, model: Decoder) -> DataFrame:
     return joined.mapInPandas(run, "token string, kl double, tv double, linf double")
 
 
+def off_context(negatives: DataFrame, rows: DataFrame, model: Decoder) -> DataFrame:
+    """token, mass: the probability that each token would take at each position where its run does not follow.
+
+    negatives: prefix, following (arrays of ids); rows: token, ids, out_row, a short list.
+    """
+    held = negatives.sparkSession.sparkContext.broadcast((model, [(r["token"], list(r["ids"]), np.asarray(r["out_row"])) for r in rows.collect()]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder, tokens = held.value
+        for b in batches:
+            out = []
+            for prefix, following in zip(b["prefix"], b["following"], strict=True):
+                z, last = decoder.forward(decoder.rows(list(prefix))[None])
+                total = log_total(z[0, -1])
+                out += [(t, 1 / (1 + float(np.exp(total - last[0, -1] @ w)))) for t, ids, w in tokens if list(following[: len(ids)]) != ids]
+            yield pd.DataFrame(out, columns=["token", "mass"])
+
+    return negatives.mapInPandas(run, "token string, mass double")
+
+
 def generated(requests: DataFrame, model: Decoder, views: dict[str, list[int]], steps: int = 4, cells: int = 1 << 13) -> DataFrame:
     """requests: request, view, ids. Continuations of all requests, views mixed in a batch; a batch is requests of like length, of `cells` ids in all with their padding, or one request."""
     held = requests.sparkSession.sparkContext.broadcast(model)

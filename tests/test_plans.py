@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.catalog import QUERIES
-from corpuscle.plans.model import Decoder, Shape, compose, drift_of, synthesize
+from corpuscle.plans.build import Plan, build
+from corpuscle.plans.model import Decoder, Shape, compose, drift_of, log_softmax, off_context, output_row, synthesize
 from corpuscle.streaming.prefix_cache import Cache, serve
 
 MODEL = Decoder(Shape(vocab=40, d=16, layers=2, heads=2, d_ff=24))
@@ -59,6 +60,30 @@ def test_drift_of_the_run_itself_is_nothing():
     assert kl < 1e-12 and tv < 1e-9 and linf < 1e-9
 
 
+def test_output_row_stays_near_the_first_id():
+    row = output_row(MODEL, [3, 9], [[1, 2], [7], [11, 12], [5]])
+    assert 0 < np.linalg.norm(row - MODEL.unembed[3]) <= np.linalg.norm(MODEL.unembed[3]) + 1e-9
+    assert (output_row(MODEL, [3, 9], [[1]]) == MODEL.unembed[3]).all()
+
+
+def test_off_context_mass_equals_the_appended_model(spark):
+    w = np.full(16, 0.3)
+    probe = spark.createDataFrame([([1, 2, 3], [4, 5]), ([6], [3, 9, 1]), ([7, 8], [3])], "prefix array<int>, following array<int>")
+    rows = spark.createDataFrame([("t", [3, 9], w.tolist())], "token string, ids array<int>, out_row array<double>")
+    got = sorted(r.mass for r in off_context(probe, rows, MODEL).collect())
+    new = MODEL.appended(np.zeros((1, 16)), w[None])
+    want = sorted(float(np.exp(log_softmax(new.forward(new.rows(p)[None])[0][0, -1])[40])) for p in ([1, 2, 3], [7, 8]))  # the run follows [6]
+    assert got == pytest.approx(want)
+
+
+def test_build_refuses_tokens_that_fire_out_of_context(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    loose = dict(max_kl=1e9, max_tv=1.0, least_n=1)
+    got = {m: build(docs, Decoder(), Plan(**loose, max_off=m)).collect() for m in (0.0, 1.0)}
+    passed = {r.gram_hex for r in got[1.0] if r.accepted}
+    assert passed and {r.gram_hex for r in got[0.0] if r.reason == "offcontext_above"} == passed
+
+
 def test_logprob_sums_to_one():
     assert sum(np.exp(MODEL.logprob([k], open_ids=np.ones(40, bool))) for k in range(40)) == pytest.approx(1)
 
