@@ -7,6 +7,8 @@ runs of the level before.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def _both(rows: DataFrame, n: int) -> DataFrame:
     return runs(rows, n).withColumn("once", F.lit(False)).unionByName(runs_once(rows, n).withColumn("once", F.lit(True)))
 
 
-def mine(rows: DataFrame, longest: int, least: int = 3) -> DataFrame:
-    """Frequent runs of 2 to `longest` tokens."""
-    limits = threshold(rows, least)
-    found = level(_both(rows, 2), limits)
+def mine(rows: DataFrame, longest: int, least: int = 3, held: Callable[[DataFrame, str], DataFrame] = lambda level, name: level) -> DataFrame:
+    """Frequent runs of 2 to `longest` tokens; held: makes a table of a level, else each level's plan has those of all levels before in it, several times."""
+    limits = held(threshold(rows, least), "limits")
+    found = held(level(_both(rows, 2), limits), "level")
     out = found
     for n in range(3, longest + 1):
         known = found.select("lang", "gram")
@@ -55,7 +57,7 @@ def mine(rows: DataFrame, longest: int, least: int = 3) -> DataFrame:
         head, tail = F.substring("gram", F.lit(1), F.lit(n - 1)), F.substring("gram", F.lit(2), F.lit(n - 1))
         for part in (head, tail):
             grams = grams.withColumn("_part", part).join(known.withColumnRenamed("gram", "_part"), ["lang", "_part"], "left_semi").drop("_part")
-        found = level(grams, limits)
+        found = held(level(grams, limits), "level")
         out = out.unionByName(found)
     return out
 

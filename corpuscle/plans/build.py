@@ -18,7 +18,7 @@ class Plan:
     lang: str = "fr"
     budget: int = 6
     shortlist: int = 12
-    longest: int = 3
+    longest: int = 8
     contexts_each: int = 64
     alpha: float = 0.2
     delta: float = 0.2
@@ -55,7 +55,7 @@ def build(docs: DataFrame, model: Decoder, plan: Plan = Plan()) -> DataFrame:
     assert model.shape.vocab >= 256 + N_SPECIAL
     rows = written(corpus.split(corpus.numbered(corpus.lines(docs).filter(F.col("lang") == plan.lang))), "lines")
     part = lambda name: rows.filter(F.col("split") == name).select("doc_id", "lang", "pos", "text")
-    short = written(mining.ranked(mining.without_nested(mining.materialized(mining.mine(part("mine"), plan.longest))), plan.shortlist), "short")
+    short = written(mining.ranked(mining.without_nested(mining.materialized(mining.mine(part("mine"), plan.longest, held=written))), plan.shortlist), "short")
     fitted = written(synthesized(_placed(part("fit"), short, plan.contexts_each), model), "rows")
     drift = written(measured(_placed(part("certify"), short, plan.contexts_each), fitted, model), "drift")
     kl = bounds.conformal(drift, "token", "kl", plan.alpha, plan.delta)

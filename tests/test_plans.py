@@ -84,6 +84,12 @@ def test_build_refuses_tokens_that_fire_out_of_context(spark):
     assert passed and {r.gram_hex for r in got[0.0] if r.reason == "offcontext_above"} == passed
 
 
+def test_build_mines_runs_of_eight_bytes(spark):
+    rows = [(k, "fr", f"{k}bonsoir!{k * 7}") for k in range(60)]
+    got = build(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Decoder()).collect()
+    assert b"bonsoir!".hex().upper() in {r.gram_hex for r in got}
+
+
 def test_logprob_sums_to_one():
     assert sum(np.exp(MODEL.logprob([k], open_ids=np.ones(40, bool))) for k in range(40)) == pytest.approx(1)
 
