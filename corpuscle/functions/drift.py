@@ -10,10 +10,19 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
-def log_softmax(z: Column) -> Column:
+def less(z: Column, x: Column) -> Column:
+    """x taken from each element; x stands outside the lambda, so it is evaluated once a row and not once an element."""
+    return F.zip_with(z, F.array_repeat(x, F.size(z)), lambda v, y: v - y)
+
+
+def log_total(z: Column) -> Column:
+    """Log of the sum of exponentials."""
     top = F.array_max(z)
-    log_sum = F.log(total(F.transform(z, lambda v: F.exp(v - top)))) + top
-    return F.transform(z, lambda v: v - log_sum)
+    return F.log(total(F.transform(less(z, top), F.exp))) + top
+
+
+def log_softmax(z: Column) -> Column:
+    return less(z, log_total(z))
 
 
 def kl(lp: Column, lq: Column) -> Column:

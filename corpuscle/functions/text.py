@@ -39,6 +39,14 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LANGUAGES, "lang string, name string, script string, whitespace_delimited boolean")
 
 
+def language(code: Column, registry: DataFrame | None = None) -> Column:
+    """The registered entry of a code, as a struct; an unknown code is an error."""
+    rows = LANGUAGES if registry is None else [tuple(r) for r in registry.collect()]  # a registry is a row for each language
+    table = F.create_map(*[x for c, name, script, cut in rows for x in (F.lit(c), F.struct(F.lit(c).alias("code"), F.lit(name).alias("name"), F.lit(script).alias("script"), F.lit(cut).alias("whitespace_delimited")))])
+    found = F.try_element_at(table, code)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown language "), F.coalesce(code, F.lit("null")))))
+
+
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -39,23 +39,35 @@ def samples_needed(alpha: float, delta: float, most: int = 100_000) -> int:
     return min(most, math.ceil(math.log(delta) / math.log(1 - alpha)))
 
 
-def conformal(rows: DataFrame, key: str, value: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """key, n, k, bound: the exact k-th smallest value of each key, infinite where the sample is too small.
+def selected(rows: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
+    """wanted: key, n (values of the key), k. The exact k-th smallest value of each key and k: key, k, value.
 
     A sketch gives an interval around the order statistic; values below it are only counted and
-    the few inside are ranked, so no key is sorted as a whole.
+    the few inside are ranked, so no key is sorted as a whole and none is one task.
     """
     v = F.col(value)
-    sizes = rows.groupBy(key).agg(F.count(value).alias("n")).withColumn("k", tolerance_index_of(F.col("n"), alpha, delta))
-    p = F.col("k") / F.col("n")
     quantiles = rows.groupBy(key).agg(F.percentile_approx(v, F.array(*[F.lit(q / 200) for q in range(201)]), F.lit(ACCURACY)).alias("q"), F.min(v).alias("least"), F.max(v).alias("most"))
-    place = F.floor(p * 200).cast("int")
-    near = sizes.filter("k is not null").join(quantiles, key).select(key, "n", "k", F.when(place <= 1, F.col("least")).otherwise(F.get("q", place - 1)).alias("lo"), F.when(place >= 198, F.col("most")).otherwise(F.get("q", place + 2)).alias("hi"))
+    place = F.floor(F.col("k") / F.col("n") * 200).cast("int")
+    near = wanted.filter("k is not null").join(quantiles, key).select(key, "k", F.when(place <= 1, F.col("least")).otherwise(F.get("q", place - 1)).alias("lo"), F.when(place >= 198, F.col("most")).otherwise(F.get("q", place + 2)).alias("hi"))
     placed = rows.select(key, v.alias("v")).join(near, key)
-    below = placed.groupBy(key).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
-    inside = placed.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(key, "k", "v").agg(F.count("*").alias("c")).join(below, key)
-    up_to = F.col("below") + F.sum("c").over(Window.partitionBy(key).orderBy("v"))
-    bound = inside.withColumn("up_to", up_to).filter(F.col("up_to") >= F.col("k")).groupBy(key).agg(F.min("v").alias("bound"))
+    below = placed.groupBy(key, "k").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
+    inside = placed.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(key, "k", "v").agg(F.count("*").alias("c")).join(below, [key, "k"])
+    up_to = F.col("below") + F.sum("c").over(Window.partitionBy(key, "k").orderBy("v"))
+    return inside.withColumn("up_to", up_to).filter(F.col("up_to") >= F.col("k")).groupBy(key, "k").agg(F.min("v").alias("value"))
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, median: the exact median, of an even number of values the mean of the middle two."""
+    sizes = rows.groupBy(key).agg(F.count(value).alias("n"))
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))).alias("k")
+    got = selected(rows, sizes.select(key, "n", middle), key, value)
+    return sizes.join(got.groupBy(key).agg(F.avg("value").alias("median")), key, "left")
+
+
+def conformal(rows: DataFrame, key: str, value: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """key, n, k, bound: the exact k-th smallest value of each key, infinite where the sample is too small."""
+    sizes = rows.groupBy(key).agg(F.count(value).alias("n")).withColumn("k", tolerance_index_of(F.col("n"), alpha, delta))
+    bound = selected(rows, sizes, key, value).select(key, F.col("value").alias("bound"))
     return sizes.join(bound, key, "left").select(key, "n", "k", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import count_chars
+from corpuscle.operators import bounds
 
 #: Documents whose lines are numbered by one task.
 SPAN = 65_536
@@ -72,11 +73,8 @@ def clean_bitext(pairs: DataFrame, least: int = 10, tolerance: float = 3.0) -> D
     """
     full = pairs.filter((F.length(F.trim("text")) >= least) & (F.length(F.trim("pivot_text")) >= least))
     rated = full.withColumn("ratio", count_chars(F.col("text")) / F.greatest(F.lit(1), count_chars(F.col("pivot_text"))))
-    # counts of equal ratios, so that the order is over distinct values and not over rows
-    values = rated.groupBy("lang", "ratio").agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy("lang").orderBy("ratio"))
-    all_of = F.sum("n").over(Window.partitionBy("lang"))
-    middle = values.select("lang", "ratio", up_to.alias("up_to"), all_of.alias("n_pairs")).filter(F.col("up_to") > F.floor(F.col("n_pairs") / 2)).groupBy("lang").agg(F.min("ratio").alias("median"), F.first("n_pairs").alias("n_pairs"))
+    sizes = rated.groupBy("lang").agg(F.count("*").alias("n")).withColumn("k", F.floor(F.col("n") / 2) + 1)
+    middle = bounds.selected(rated, sizes, "lang", "ratio").join(sizes.select("lang", F.col("n").alias("n_pairs")), "lang").select("lang", "n_pairs", F.col("value").alias("median"))
     median = F.when(F.col("median") == 0, 1.0).otherwise(F.col("median"))
     return rated.join(middle, "lang").filter((F.col("n_pairs") < 8) | F.col("ratio").between(median / tolerance, median * tolerance)).select("lang", "line_no", "text", "pivot_text", "ratio")
 

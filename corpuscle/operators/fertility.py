@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.operators import bounds
+
 
 def cost(rows: DataFrame, tokens: Column, chars: Column, words: Column, pivot: str = "en") -> DataFrame:
     """One row for each language. A word count that any line lacks is lacking in the sum."""
@@ -31,8 +33,8 @@ def cost(rows: DataFrame, tokens: Column, chars: Column, words: Column, pivot: s
 
 def median_ratio(pairs: DataFrame, tokens: Column, pivot_tokens: Column) -> DataFrame:
     """The exact median of the ratios of aligned lines whose pivot has tokens."""
-    both = pairs.select("lang", tokens.alias("t"), pivot_tokens.alias("p")).filter(F.col("p") > 0)
-    return both.groupBy("lang").agg(F.count("*").alias("n_pairs"), F.percentile(F.col("t") / F.col("p"), 0.5).alias("cost_ratio_median"))
+    both = pairs.select("lang", tokens.alias("t"), pivot_tokens.alias("p")).filter(F.col("p") > 0).select("lang", (F.col("t") / F.col("p")).alias("ratio"))
+    return bounds.medians(both, "lang", "ratio").select("lang", F.col("n").alias("n_pairs"), F.col("median").alias("cost_ratio_median"))
 
 
 def reduction(before: Column, after: Column, new_rows: Column) -> list[Column]:

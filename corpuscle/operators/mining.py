@@ -25,10 +25,12 @@ def runs(rows: DataFrame, n: int) -> DataFrame:
     return _bodies(rows, n).select("lang", "body", at.alias("at")).select("lang", F.substring("body", F.col("at"), F.lit(n)).alias("gram"))
 
 
-def runs_once(rows: DataFrame, n: int) -> DataFrame:
-    """lang, gram: each run of n byte tokens once for each line that has it. A line is one row, so this needs no shuffle."""
-    found = F.transform(F.sequence(F.lit(1), F.octet_length("body") - n + 1), lambda i: F.hex(F.substring("body", i, F.lit(n))))
-    return _bodies(rows, n).select("lang", F.explode(F.array_distinct(found)).alias("h")).select("lang", F.unhex("h").alias("gram"))
+def runs_marked(rows: DataFrame, n: int) -> DataFrame:
+    """lang, gram, once: each run of n byte tokens, `once` for one of its occurrences in each line. A line is one row, so its runs are sorted where they stand."""
+    found = F.sort_array(F.transform(F.sequence(F.lit(1), F.octet_length("body") - n + 1), lambda i: F.substring("body", i, F.lit(n))))
+    ordered = _bodies(rows, n).select("lang", found.alias("found"))
+    marked = F.transform("found", lambda g, i: F.struct(g.alias("gram"), ((i == 0) | (g != F.get("found", i - 1))).alias("once")))
+    return ordered.select("lang", F.inline(marked))
 
 
 def threshold(rows: DataFrame, least: int = 3, shortest: int = 2) -> DataFrame:
@@ -37,23 +39,19 @@ def threshold(rows: DataFrame, least: int = 3, shortest: int = 2) -> DataFrame:
 
 
 def level(grams: DataFrame, limits: DataFrame, docs_least: int = 2) -> DataFrame:
-    """lang, gram, n_occurrences, n_docs of the frequent runs; grams has a row for each occurrence, and one marked `once` for each line."""
-    counts = grams.groupBy("lang", "gram").agg(F.count_if(~F.col("once")).alias("n_occurrences"), F.count_if(F.col("once")).alias("n_docs"))
+    """lang, gram, n_occurrences, n_docs of the frequent runs; grams has a row for each occurrence, one of each line marked `once`."""
+    counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n_occurrences"), F.count_if(F.col("once")).alias("n_docs"))
     return counts.join(limits, "lang").filter((F.col("n_occurrences") >= F.col("min_count")) & (F.col("n_docs") >= docs_least)).drop("min_count")
 
 
-def _both(rows: DataFrame, n: int) -> DataFrame:
-    return runs(rows, n).withColumn("once", F.lit(False)).unionByName(runs_once(rows, n).withColumn("once", F.lit(True)))
-
-
 def mine(rows: DataFrame, longest: int, least: int = 3, held: Callable[[DataFrame, str], DataFrame] = lambda level, name: level) -> DataFrame:
     """Frequent runs of 2 to `longest` tokens; held: makes a table of a level, else each level's plan has those of all levels before in it, several times."""
     limits = held(threshold(rows, least), "limits")
-    found = held(level(_both(rows, 2), limits), "level")
+    found = held(level(runs_marked(rows, 2), limits), "level")
     out = found
     for n in range(3, longest + 1):
         known = found.select("lang", "gram")
-        grams = _both(rows, n)
+        grams = runs_marked(rows, n)
         head, tail = F.substring("gram", F.lit(1), F.lit(n - 1)), F.substring("gram", F.lit(2), F.lit(n - 1))
         for part in (head, tail):
             grams = grams.withColumn("_part", part).join(known.withColumnRenamed("gram", "_part"), ["lang", "_part"], "left_semi").drop("_part")
