@@ -2,13 +2,14 @@
 
 A sequence of ids is a string of code points, one for each id, so a merge pass is one regular
 expression whose alternatives stand longest first; that stays in the JVM. Large packs, for which
-trying the alternatives in turn is slow, walk a trie in Arrow batches instead. Both give the same.
+trying the alternatives in turn is slow, go through an automaton (or, without its library, a trie) in
+Arrow batches instead. Both give the same.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,12 +34,50 @@ def merged_size(tokens: Column, expansions: list[bytes]) -> Column:
     """Tokens that are left after the merge pass."""
     if not expansions:
         return F.octet_length(tokens).cast("long")
+    if len(set(expansions)) > REGEX_MOST:
+        return _merged_size(tokens, expansions)
     # the mark stands outside Latin-1, so it can be told from every token
     return F.length(F.regexp_replace(as_string(tokens), pattern_of(expansions), "☃")).cast("long")
 
 
+def finder(expansions: list[bytes]) -> Callable[[bytes], list[bytes]]:
+    """The merged runs of a sequence in order, whatever the size of the pack."""
+    try:
+        import ahocorasick
+    except ImportError:
+        trie = Trie({tuple(e): k for k, e in enumerate(dict.fromkeys(expansions))})
+        return lambda b: [b[lo:hi] for lo, hi, new in trie.occurrences(list(b)) if new is not None]
+    automaton = ahocorasick.Automaton()
+    for e in expansions:
+        automaton.add_word(e.decode("latin-1"), e)
+    automaton.make_automaton()
+    return lambda b: [e for _, e in automaton.iter_long(b.decode("latin-1"))]
+
+
+def _merged_size(tokens: Column, expansions: list[bytes]) -> Column:
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(expansions)
+        for s in batches:
+            yield s.map(lambda b: None if b is None else len(b) - sum(len(e) - 1 for e in find(bytes(b)))).astype("Int64")
+
+    return run(tokens)
+
+
+def _spans(tokens: Column, expansions: list[bytes]) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(expansions)
+        for s in batches:
+            yield s.map(lambda b: None if b is None else [e.hex().upper() for e in find(bytes(b))])
+
+    return run(tokens)
+
+
 def spans(tokens: Column, expansions: list[bytes]) -> Column:
     """The merged runs in order, as hex."""
+    if len(set(expansions)) > REGEX_MOST:
+        return _spans(tokens, expansions)
     found = F.regexp_extract_all(as_string(tokens), F.lit(f"({pattern_of(expansions)})"), F.lit(1))
     return F.transform(found, lambda m: F.hex(F.encode(m, "ISO-8859-1")))
 

@@ -1,22 +1,47 @@
-"""Tables between the steps of a plan, in the folder that the executors share."""
+"""Tables between the steps of a plan, in the folder that the executors share, and the package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table of its own, so that later plans start from it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def ship(spark: SparkSession) -> None:
+    """Gives the executors of a cluster this package, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpuscle_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp()), "corpuscle_package.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "corpuscle").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(target)
+    sc._corpuscle_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder in spark.checkpoint.dir; a local one only where none is named and the master is local."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or getattr(sc, "_corpuscle_dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='corpuscle-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        base = sc._corpuscle_dir = f"file://{os.path.realpath(tempfile.mkdtemp(prefix='corpuscle-'))}"
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own, so that later plans start from it. Whoever owns the folder clears it: a result may still read the table."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
