@@ -61,6 +61,55 @@ def online_bound(covers: DataFrame, chosen: DataFrame, budget: int) -> DataFrame
     return now.join(top, "lang", "left").select("lang", "covered", (F.col("covered") + F.coalesce("more", F.lit(0))).alias("bound"))
 
 
+def naive_topk(candidates: DataFrame, budget: int) -> DataFrame:
+    """The baseline without coverage: the candidates of each language with the largest raw saving, ties by the bytes."""
+    saving = candidates.withColumn("saving", (F.col("n_occurrences") * (F.octet_length("gram") - 1)).cast("long"))
+    order = Window.partitionBy("lang").orderBy(F.desc("saving"), F.hex("gram"))
+    return saving.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= budget)
+
+
+def savings_by_lang(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """lang, n_selected, base_tokens, exact_savings of the chosen runs of each language, one merge pass over its lines; chosen: lang, gram, a budget's rows."""
+    packs: dict[str, list[bytes]] = {}
+    for r in chosen.select("lang", "gram").collect():  # a budget for each language
+        packs.setdefault(r["lang"], []).append(bytes(r["gram"]))
+    body = F.encode("text", "utf-8")
+    saved = F.lit(0).cast("long")
+    for lang, runs in sorted(packs.items()):
+        saved = F.when(F.col("lang") == lang, exact_saving(body, runs)).otherwise(saved)
+    sums = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("long").alias("base_tokens"), F.sum(saved).alias("exact_savings"))
+    sizes = rows.sparkSession.createDataFrame([(k, len(v)) for k, v in packs.items()], "lang string, n_selected long")
+    return sums.join(F.broadcast(sizes), "lang", "left").select("lang", F.coalesce("n_selected", F.lit(0)).cast("long").alias("n_selected"), "base_tokens", "exact_savings")  # a row for each language
+
+
+def ratios(results: DataFrame) -> DataFrame:
+    """results: exact_savings, base_tokens, n_selected, bound. Adds what a selection is worth, and at least how near it is to the best."""
+    saved = F.col("exact_savings")
+    return results.select(
+        "*",
+        F.when(F.col("base_tokens") > 0, saved / F.col("base_tokens")).otherwise(0.0).alias("token_reduction"),
+        F.when(F.col("bound") > 0, F.least(F.lit(1.0), saved / F.col("bound"))).otherwise(1.0).alias("certified_optimality"),
+        F.when(F.col("n_selected") > 0, saved / F.col("n_selected")).otherwise(0.0).alias("savings_per_row"),
+    )
+
+
+def greedy_curve(rows: DataFrame, picks: DataFrame, budgets: list[int]) -> DataFrame:
+    """lang, budget, n_selected, exact_savings, token_reduction: nested prefixes of one greedy run (lang, step, gram)."""
+    out = None
+    for b in budgets:
+        made = savings_by_lang(rows, picks.filter(F.col("step") <= b)).withColumn("budget", F.lit(b))
+        out = made if out is None else out.unionByName(made)
+    return out.select("lang", "budget", "n_selected", "exact_savings", F.when(F.col("base_tokens") > 0, F.col("exact_savings") / F.col("base_tokens")).otherwise(0.0).alias("token_reduction"))
+
+
+def eligible(candidates: DataFrame, certificates: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Candidates that have no refused certificate to fear: all, where none are given, else the accepted ones; and the number of the others, one row."""
+    if certificates is None:
+        return candidates, candidates.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_rejected"))
+    good = certificates.filter("accepted").select("lang", "gram").distinct()
+    return candidates.join(good, ["lang", "gram"], "left_semi"), candidates.join(good, ["lang", "gram"], "left_anti").agg(F.count("*").alias("n_rejected"))
+
+
 def exact_saving(tokens: Column, expansions: list[bytes]) -> Column:
     """Tokens that the merge pass removes from a line."""
     return F.octet_length(tokens).cast("long") - merged_size(tokens, expansions)

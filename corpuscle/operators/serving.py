@@ -2,22 +2,60 @@
 
 from __future__ import annotations
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for m in _MIX:
+        x = (x ^ (x >> np.uint64(33))) * m
+    return x ^ (x >> np.uint64(33))
+
+
+def prefix_hashes(ids: bytes) -> np.ndarray:
+    """Signed hash of each prefix, of length 1 and up: the sum of mixed (place, byte) pairs."""
+    body = np.frombuffer(ids, np.uint8).astype(np.uint64)
+    return np.cumsum(_mixed((np.arange(1, len(body) + 1, dtype=np.uint64) << np.uint64(8) | body) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _hashed(rows: DataFrame, key: str, every: bool, least: int) -> DataFrame:
+    """key, n, h: of each prefix of `least` ids and more, or of the whole sequence alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, ids in zip(batch.column(0), batch.column(1), strict=True):
+                h = prefix_hashes(ids.as_py() or b"")
+                n = np.arange(least, len(h) + 1) if every else np.arange(len(h), len(h) + 1)
+                if len(h) >= least:
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(n), pa.int64()), pa.array(n, pa.int32()), pa.array(h[n - 1])], names=[key, "n", "h"])
+
+    return rows.select(F.col(key).cast("long"), "ids").mapInArrow(run, f"{key} long, n int, h long")
+
 
-def longest_prefix(requests: DataFrame, stored: DataFrame, least: int = 4) -> DataFrame:
+def longest_prefix(requests: DataFrame, stored: DataFrame, least: int = 4, earlier: bool = False) -> DataFrame:
     """requests: request, ids; stored: entry, ids. request, entry, matched: the deepest stored sequence that begins the request.
 
-    Stored sequences are joined on their hash with the prefixes of a request of the lengths that
-    occur, then compared as a whole.
+    Of equal sequences the least entry counts. earlier: only entries below the request's number.
+    The prefixes of a request are told by hashes, a number each, that one pass over it gives; bytes
+    are fetched and compared for the deepest match alone.
     """
-    kept = stored.filter(F.octet_length("ids") >= least).groupBy("ids").agg(F.min("entry").alias("entry")).select("entry", F.col("ids").alias("stored_ids"), F.octet_length("ids").alias("n"), F.xxhash64("ids").alias("h"))
-    n = F.explode(F.when(F.octet_length("ids") >= least, F.sequence(F.lit(least), F.octet_length("ids"))).otherwise(F.array().cast("array<int>")))
-    tried = requests.select("request", "ids", n.alias("n")).join(kept.select("n").distinct(), "n", "left_semi").select("request", "n", F.xxhash64(F.substring("ids", F.lit(1), F.col("n"))).alias("h"), F.substring("ids", F.lit(1), F.col("n")).alias("head"))
-    hits = tried.join(kept, ["n", "h"]).filter(F.col("head") == F.col("stored_ids"))
-    best = hits.groupBy("request").agg(F.max(F.struct("n", "entry")).alias("b"))
-    return requests.join(best, "request", "left").select("request", F.col("b.entry").alias("entry"), F.coalesce("b.n", F.lit(0)).cast("long").alias("matched"), F.octet_length("ids").cast("long").alias("n_ids"))
+    kept = _hashed(stored, "entry", False, least).groupBy("n", "h").agg(F.min("entry").alias("entry"))
+    tried = _hashed(requests, "request", True, least)
+    hits = tried.join(kept, ["n", "h"])
+    if earlier:
+        hits = hits.filter("entry < request")
+    best = hits.groupBy("request").agg(F.max(F.struct("n", "entry")).alias("b")).select("request", "b.n", "b.entry")
+    found = requests.join(best, "request", "left").join(stored.select("entry", F.col("ids").alias("_stored")), "entry", "left")
+    same = F.substring("ids", F.lit(1), F.col("n")) == F.col("_stored")
+    return found.select("request", F.when(same, F.col("entry")).alias("entry"), F.when(same, F.col("n")).otherwise(0).cast("long").alias("matched"), F.octet_length("ids").cast("long").alias("n_ids"))
 
 
 def reuse(matched: DataFrame) -> DataFrame:

@@ -26,28 +26,80 @@ class Decoder:
     Inputs are rows of embeddings, so a new token is a row that stands in for several.
     """
 
-    def __init__(self, shape: Shape = Shape(), seed: int = 0):
+    def __init__(self, shape: Shape = Shape(), seed: int = 0, tied: bool = False):
         r = np.random.default_rng(seed)
+        self.tied, self.forward_tokens = tied, 0
         self.shape, d, f = shape, shape.d, shape.d_ff
         draw = lambda *s: (r.normal(size=s) / np.sqrt(s[0])).astype(np.float64)
         low = r.normal(size=(shape.vocab, 8)) @ r.normal(size=(8, d)) / np.sqrt(8)
         self.embed = low + 0.3 * r.normal(size=(shape.vocab, d))
-        self.unembed = draw(d, shape.vocab).T
+        self.unembed = self.embed if tied else draw(d, shape.vocab).T
         self.blocks = [{k: draw(*s) for k, s in {"q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "gate": (d, f), "up": (d, f), "down": (f, d)}.items()} for _ in range(shape.layers)]
 
     @property
     def n_params(self) -> int:
-        return self.embed.size + self.unembed.size + sum(w.size for b in self.blocks for w in b.values())
+        return self.embed.size + (0 if self.tied else self.unembed.size) + sum(w.size for b in self.blocks for w in b.values())
 
-    def appended(self, rows: np.ndarray, out_rows: np.ndarray) -> "Decoder":
+    @property
+    def output_matrix(self) -> np.ndarray | None:
+        """The output rows, none of their own where they are the input rows."""
+        return None if self.tied else self.unembed
+
+    @property
+    def row_norm_max(self) -> float:
+        """No logit changes by more than this times the change of the hidden state."""
+        return float(np.linalg.norm(self.unembed, axis=1).max())
+
+    def reset_cost(self) -> None:
+        self.forward_tokens = 0
+
+    def flops(self, gradient: bool = False) -> int:
+        """Of the tokens that have gone forward, padding included."""
+        return (6 if gradient else 2) * self.n_params * self.forward_tokens
+
+    def row_params(self, n: int) -> int:
+        """Parameters of n more vocabulary rows."""
+        return n * self.shape.d * (1 if self.tied else 2)
+
+    def effective_output_row(self, row: np.ndarray, out_row: np.ndarray | None) -> np.ndarray | None:
+        """What a new token is emitted by: its own output row, its input row where the matrices are tied, else nothing."""
+        return out_row if out_row is not None else row if self.tied else None
+
+    def appended(self, rows: np.ndarray, out_rows: np.ndarray | None) -> "Decoder":
         """A model with more vocabulary rows; the rows there were stay as they are."""
-        if rows.shape[1] != self.shape.d or rows.shape != out_rows.shape:
+        if rows.ndim != 2 or rows.shape[1] != self.shape.d or (out_rows is not None and rows.shape != out_rows.shape):
             raise ValueError("rows of another width")
+        if self.tied and out_rows is not None and not np.array_equal(rows, out_rows):
+            raise ValueError("a tied model has one row a token")
+        if not self.tied and out_rows is None:
+            raise ValueError("an untied model needs output rows")
         other = object.__new__(Decoder)
         other.shape = Shape(self.shape.vocab + len(rows), self.shape.d, self.shape.layers, self.shape.heads, self.shape.d_ff, self.shape.base)
-        other.embed, other.unembed, other.blocks = np.concatenate((self.embed, rows)), np.concatenate((self.unembed, out_rows)), self.blocks
+        other.tied, other.forward_tokens, other.blocks = self.tied, 0, self.blocks
+        other.embed = np.concatenate((self.embed, rows))
+        other.unembed = other.embed if self.tied else np.concatenate((self.unembed, out_rows))
+        assert np.array_equal(other.embed[: self.shape.vocab], self.embed) and np.array_equal(other.unembed[: self.shape.vocab], self.unembed)
         return other
 
+    def resized(self, vocab: int) -> "Decoder":
+        """Cut to fewer vocabulary rows, or grown by rows of zeros."""
+        if vocab < self.shape.vocab:
+            other = self.appended(np.zeros((0, self.shape.d)), None if self.tied else np.zeros((0, self.shape.d)))
+            other.shape = Shape(vocab, *[getattr(self.shape, k) for k in ("d", "layers", "heads", "d_ff", "base")])
+            other.embed = other.embed[:vocab]
+            other.unembed = other.embed if self.tied else other.unembed[:vocab]
+            return other
+        more = np.zeros((vocab - self.shape.vocab, self.shape.d))
+        return self.appended(more, None if self.tied else more)
+
+    def padded(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences of rows as one batch, padded on the right, and which positions hold a row."""
+        wide = max(map(len, sequences))
+        mask = np.arange(wide) < np.array([len(s) for s in sequences])[:, None]
+        x = np.zeros((len(sequences), wide, self.shape.d))
+        x[mask] = np.concatenate(sequences)
+        return x, mask
+
     @staticmethod
     def norm(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).mean(-1, keepdims=True) + 1e-6)
@@ -62,7 +114,14 @@ class Decoder:
 
     def forward(self, x: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Logits and last hidden states of a batch of rows of embeddings; mask: which positions hold a token."""
+        logits, states = self.trace(x, mask)
+        return logits, states[-1]
+
+    def trace(self, x: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Logits and the hidden states after each layer, the last one normalised."""
         n, t, d = x.shape
+        self.forward_tokens += n * t
+        states = []
         mask = np.ones((n, t), bool) if mask is None else mask
         at = np.maximum(np.cumsum(mask, 1) - 1, 0)  # padding on the left does not move a token
         see = np.tril(np.ones((t, t), bool))[None] & mask[:, None, :]
@@ -77,8 +136,9 @@ class Decoder:
             y = self.norm(x)
             g = y @ b["gate"]
             x = x + (g / (1 + np.exp(-g)) * (y @ b["up"])) @ b["down"]
-        last = self.norm(x)
-        return last @ self.unembed.T, last
+            states.append(x)
+        states[-1] = self.norm(x)
+        return states[-1] @ self.unembed.T, states
 
     def rows(self, ids: list[int]) -> np.ndarray:
         return self.embed[np.asarray(ids, int)]
@@ -97,6 +157,7 @@ class Decoder:
         The last layer is computed for the last position alone, and `span` positions attend at once.
         """
         n, new, d = x.shape
+        self.forward_tokens += n * new
         h, each = self.shape.heads, d // self.shape.heads
         at = np.maximum(np.cumsum(mask, 1) - 1, 0)[:, -new:]
         for layer, b in enumerate(self.blocks):

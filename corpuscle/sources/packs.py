@@ -54,6 +54,24 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result rows of JSON lines; keys that the schema does not name are left out, missing ones are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_surfaces(entries: DataFrame, path: str) -> None:
+    """One JSON object of a pack's surfaces and ids, with a note of what they cannot say; entries: gram_hex, new_id."""
+    pairs = entries.select(F.decode(F.unhex("gram_hex"), "utf-8").alias("surface"), F.col("new_id").alias("id"))
+    listed = pairs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("surface", "id")))).alias("tokens"))  # a pack's rows
+    listed.select("tokens", F.lit("a surface stands for its run of base tokens and for no other").alias("note")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_assets(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as one compact JSON array, for static pages."""
+    for name, rows in tables.items():
+        rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
 def card(entries: DataFrame) -> str:
     """A short text about a pack: counts and the worst bound of each statistic."""
     facts = entries.agg(F.count("*").alias("n"), F.count_if(F.col("accepted")).alias("ok")).first()
