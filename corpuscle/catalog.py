@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import drift
 from corpuscle.functions.text import byte_count, count_chars, count_words, languages, nfc
 from corpuscle.operators import bounds, contexts, corpus, fertility, merge, mining, selection, serving, vocab
-from corpuscle.plans.tables import written
+from corpuscle.plans.tables import scratch_path, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +22,12 @@ MERGES = [b"the", b"th", b" the ", b"tion", b"ent", b" de ", b"le", b"er", b"en"
 
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -93,7 +99,10 @@ def corpus_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "split").agg(F.count("*").alias("n_lines"), F.sum(byte_count(F.col("text"))).alias("n_tokens"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
-@query(f"WITH {NUMBERED} SELECT lang, 0::BIGINT AS n_shared, count(*) AS n_lines FROM numbered GROUP BY lang")
+@query(f"""WITH {NUMBERED}, e AS (SELECT *, floor(n_lines * 0.4) AS a, floor(n_lines * 0.2) AS b FROM numbered),
+k AS (SELECT lang, line_no, n_lines, unnest(list_filter(['mine', 'fit', 'certify', 'eval'], lambda s: n_lines < 8 OR (s = 'mine' AND line_no < a) OR (s = 'fit' AND line_no >= a AND line_no < a + b) OR (s = 'certify' AND line_no >= a + b AND line_no < a + 2 * b) OR (s = 'eval' AND line_no >= a + 2 * b))) AS split FROM e),
+u AS (SELECT lang, line_no, count(DISTINCT split) AS k, first(n_lines) AS n FROM k GROUP BY lang, line_no)
+SELECT lang, count(*) FILTER (k > 1 AND n >= 8) AS n_shared, count(*) AS n_lines FROM u GROUP BY lang""")
 def split_disjoint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand in more than one split of a corpus large enough to be split."""
     rows = corpus.split(corpus.numbered(_lines(spark, sf_dir)))
@@ -155,8 +164,12 @@ for _n in (2, 3, 4):
     _ngrams(_n)
 
 
-def _candidates(spark: SparkSession, sf_dir: str, longest: int = 3) -> DataFrame:
-    return mining.materialized(mining.mine(_lines(spark, sf_dir), longest))
+#: Longest run that is mined where nothing else is said.
+LONGEST = 8
+
+
+def _candidates(spark: SparkSession, sf_dir: str, longest: int = LONGEST) -> DataFrame:
+    return mining.materialized(mining.mine(_lines(spark, sf_dir), longest, held=written))
 
 
 def _small(candidates: DataFrame, most: int) -> DataFrame:
@@ -173,19 +186,20 @@ def mine_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("lang", "rank", F.hex("gram").alias("gram"), "n_occurrences", "n_docs", "saving")
 
 
-SQL["mine_ranked"] = f"WITH {_mined_sql(3)}, {KEPT}, {RANKED} SELECT lang, rank::INT AS rank, gram, n_occurrences, n_docs, saving::BIGINT AS saving FROM ranked WHERE rank <= 50"
+SQL["mine_ranked"] = f"WITH {_mined_sql(LONGEST)}, {KEPT}, {RANKED} SELECT lang, rank::INT AS rank, gram, n_occurrences, n_docs, saving::BIGINT AS saving FROM ranked WHERE rank <= 50"
 
-NESTED = """parts AS (SELECT lang, substr(gram, 2 * i - 1, 4) AS gram, max(n_occurrences) AS n FROM (SELECT lang, gram, n_occurrences, unnest(range(1, len)) AS i FROM kept WHERE len = 3) GROUP BY 1, 2),
+NESTED = """sizes AS (SELECT lang, gram, len, n_occurrences, unnest(range(2, len)) AS k FROM kept WHERE len > 2),
+parts AS (SELECT lang, substr(gram, 2 * i - 1, 2 * k) AS gram, max(n_occurrences) AS n FROM (SELECT *, unnest(range(1, len - k + 2)) AS i FROM sizes) GROUP BY 1, 2),
 single AS (SELECT kept.* FROM kept LEFT JOIN parts ON kept.lang = parts.lang AND kept.gram = parts.gram WHERE parts.n IS NULL OR parts.n < kept.n_occurrences)"""
 
 
-@query(f"WITH {_mined_sql(3)}, {KEPT}, {NESTED} SELECT lang, gram, n_occurrences, n_docs FROM single")
+@query(f"WITH {_mined_sql(LONGEST)}, {KEPT}, {NESTED} SELECT lang, gram, n_occurrences, n_docs FROM single")
 def mine_nested_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mining.without_nested(_candidates(spark, sf_dir))
     return kept.select("lang", F.hex("gram").alias("gram"), "n_occurrences", "n_docs")
 
 
-@query(f"""WITH {_mined_sql(3)}, {KEPT}, c AS (SELECT lang, count(*) AS k, sum(n_occurrences * (len - 1)) AS s FROM kept GROUP BY lang), b AS (SELECT lang, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS t FROM lines GROUP BY lang)
+@query(f"""WITH {_mined_sql(LONGEST)}, {KEPT}, c AS (SELECT lang, count(*) AS k, sum(n_occurrences * (len - 1)) AS s FROM kept GROUP BY lang), b AS (SELECT lang, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS t FROM lines GROUP BY lang)
 SELECT b.lang, n_docs, t AS n_base_tokens, coalesce(k, 0) AS n_candidates, CAST(coalesce(s, 0) AS BIGINT) AS upper_bound_saving, CASE WHEN t > 0 THEN least(1.0, CAST(coalesce(s, 0) AS BIGINT) / t) ELSE 0.0 END AS headroom FROM b LEFT JOIN c USING (lang)""")
 def mining_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.report(_lines(spark, sf_dir), _candidates(spark, sf_dir))
@@ -209,7 +223,9 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("lang", "h").agg(F.count("*").alias("n")).select("lang", F.decode(F.unhex("h"), "utf-8").alias("surface"), "n")
 
 
-@query(f"WITH {LINES} SELECT count(*) AS n_lines, 0::BIGINT AS not_lossless, 0::BIGINT AS longer, 0::BIGINT AS outside_view, 0::BIGINT AS not_appended FROM lines")
+@query(f"""WITH {LINES}, p AS (SELECT text, regexp_extract_all(text, '(?s){PATTERN}|.') AS pieces FROM lines)
+SELECT count(*) AS n_lines, count(*) FILTER (list_aggregate(pieces, 'string_agg', '') <> text) AS not_lossless, count(*) FILTER ({MERGED} > strlen(text)) AS longer,
+  count(*) FILTER (len(list_filter(pieces, lambda x: length(x) > 1 AND NOT list_contains({[e.decode() for e in MERGES]}, x))) > 0) AS outside_view, (SELECT count(*) FROM range({len(MERGES)}) r(k) WHERE 260 + k < 260) AS not_appended FROM p""")
 def merge_roundtrip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pack's invariants as counts of violations."""
     from corpuscle.functions.text import N_SPECIAL, byte_ids, byte_tokens
@@ -239,19 +255,26 @@ def retokenised_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n_lines"), F.sum(byte_count(F.col("text"))).alias("base_tokens"), F.sum(merge.merged_size(F.encode("text", "utf-8"), MERGES)).alias("pack_tokens"))
 
 
+#: Candidates of each language in a short list.
 SHORT = 12
 SHORTLIST = f"{_mined_sql(3)}, {KEPT}, {RANKED}, short AS (SELECT * FROM ranked WHERE rank <= {SHORT})"
+#: All candidates: what coverage, gains and bounds are over.
+GROUND = f"{_mined_sql(3)}, {KEPT}, short AS (SELECT * FROM kept)"
 COVERS = f"""occ AS (SELECT g.lang, g.gram, doc_id, pos, place, len FROM (SELECT lang, doc_id, pos, place, gram FROM g2 UNION ALL SELECT lang, doc_id, pos, place, gram FROM g3) g JOIN short ON short.lang = g.lang AND short.gram = g.gram),
 covers AS (SELECT DISTINCT lang, gram, doc_id, pos, slot FROM (SELECT *, unnest(range(place, place + len - 1)) AS slot FROM occ))"""
 
 
 def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(_small(_candidates(spark, sf_dir), SHORT).select("lang", "gram"), "short")  # read more than once
+    return written(_small(_candidates(spark, sf_dir, 3), SHORT).select("lang", "gram"), "short")  # read more than once
+
+
+def _ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(_candidates(spark, sf_dir, 3).select("lang", "gram"), "ground")
 
 
-@query(f"WITH {SHORTLIST}, {COVERS} SELECT lang, count(DISTINCT (doc_id, pos, slot)) AS covered, count(*) AS slots_of_candidates FROM covers GROUP BY lang")
+@query(f"WITH {GROUND}, {COVERS} SELECT lang, count(DISTINCT (doc_id, pos, slot)) AS covered, count(*) AS slots_of_candidates FROM covers GROUP BY lang")
 def boundary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covers = selection.coverage(_lines(spark, sf_dir), _shortlist(spark, sf_dir))
+    covers = selection.coverage(_lines(spark, sf_dir), _ground(spark, sf_dir))
     by_slot = covers.groupBy("lang", "line", "slot").agg(F.count("*").alias("k"))
     return by_slot.groupBy("lang").agg(F.count("*").alias("covered"), F.sum("k").alias("slots_of_candidates"))
 
@@ -260,22 +283,22 @@ FIRST = "best AS (SELECT lang, gram FROM (SELECT lang, gram, row_number() OVER (
 
 
 def _first_pick(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    covers = selection.coverage(_lines(spark, sf_dir), _shortlist(spark, sf_dir))
+    covers = written(selection.coverage(_lines(spark, sf_dir), _ground(spark, sf_dir)), "covers")
     order = Window.partitionBy("lang").orderBy(F.desc("gain"), F.hex("gram"))
     best = selection.gains(covers).withColumn("k", F.row_number().over(order)).filter("k = 1").select("lang", "gram")
     return covers, best
 
 
-@query(f"WITH {SHORTLIST}, {COVERS}, {FIRST} SELECT c.lang, c.gram, count(*) AS gain FROM covers c ANTI JOIN done d ON c.lang = d.lang AND c.doc_id = d.doc_id AND c.pos = d.pos AND c.slot = d.slot GROUP BY c.lang, c.gram")
+@query(f"WITH {GROUND}, {COVERS}, {FIRST} SELECT c.lang, c.gram, count(*) AS gain FROM covers c ANTI JOIN done d ON c.lang = d.lang AND c.doc_id = d.doc_id AND c.pos = d.pos AND c.slot = d.slot GROUP BY c.lang, c.gram")
 def marginal_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gains of the short-listed candidates once the best of each language is taken."""
+    """Gains of all candidates once the best of each language is taken."""
     covers, best = _first_pick(spark, sf_dir)
     covered = covers.join(best, ["lang", "gram"], "left_semi").select("lang", "line", "slot").distinct()
     return selection.gains(covers, covered).select("lang", F.hex("gram").alias("gram"), "gain")
 
 
 def _greedy_sql(steps: int) -> str:
-    out = f"WITH {SHORTLIST}, {COVERS}, left0 AS MATERIALIZED (SELECT * FROM covers)"
+    out = f"WITH {GROUND}, {COVERS}, left0 AS MATERIALIZED (SELECT * FROM covers)"
     for k in range(1, steps + 1):
         out += f""",
 pick{k} AS MATERIALIZED (SELECT lang, gram, gain FROM (SELECT lang, gram, count(*) AS gain, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS k FROM left{k - 1} GROUP BY lang, gram) WHERE k = 1),
@@ -285,12 +308,11 @@ left{k} AS MATERIALIZED (SELECT l.* FROM left{k - 1} l ANTI JOIN (SELECT c.lang,
 
 @query(_greedy_sql(3))
 def greedy_select_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covers = selection.coverage(_lines(spark, sf_dir), _shortlist(spark, sf_dir))
-    covers = written(covers, "covers")
+    covers = written(selection.coverage(_lines(spark, sf_dir), _ground(spark, sf_dir)), "covers")
     return selection.greedy(covers, 3).select("lang", "step", F.hex("gram").alias("gram"), "gain")
 
 
-@query(f"""WITH {SHORTLIST}, {COVERS}, {FIRST}, n AS (SELECT lang, count(*) AS covered FROM done GROUP BY lang),
+@query(f"""WITH {GROUND}, {COVERS}, {FIRST}, n AS (SELECT lang, count(*) AS covered FROM done GROUP BY lang),
 g AS (SELECT c.lang, c.gram, count(*) AS gain FROM covers c ANTI JOIN done d ON c.lang = d.lang AND c.doc_id = d.doc_id AND c.pos = d.pos AND c.slot = d.slot GROUP BY c.lang, c.gram),
 t AS (SELECT lang, sum(gain) AS more FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gain DESC, gram) AS k FROM g) WHERE k <= 3 GROUP BY lang)
 SELECT n.lang, covered, CAST(covered + coalesce(more, 0) AS BIGINT) AS bound FROM n LEFT JOIN t USING (lang)""")
@@ -334,14 +356,14 @@ def context_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SHORTLIST} SELECT lang, gram, rank::INT AS rank, CAST(259 + row_number() OVER (ORDER BY lang, rank) AS BIGINT) AS new_id FROM short")
 def pack_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packs = _small(_candidates(spark, sf_dir), SHORT).select("lang", "rank", "gram")
+    packs = _small(_candidates(spark, sf_dir, 3), SHORT).select("lang", "rank", "gram")
     return vocab.attach(packs, 260).select("lang", F.hex("gram").alias("gram"), "rank", "new_id")
 
 
 @query(f"""WITH {SHORTLIST}, w AS (SELECT 'base' AS view, NULL AS lang, true AS i UNION ALL SELECT DISTINCT lang, lang, false FROM short UNION ALL SELECT DISTINCT lang || ':in', lang, true FROM short)
 SELECT w.view, count(*) FILTER (short.lang = w.lang AND NOT i) AS n_open, count(*) - count(*) FILTER (short.lang = w.lang AND NOT i) AS n_closed FROM short, w GROUP BY w.view""")
 def logit_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packs = vocab.attach(_small(_candidates(spark, sf_dir), SHORT).select("lang", "rank", "gram"), 260)
+    packs = vocab.attach(_small(_candidates(spark, sf_dir, 3), SHORT).select("lang", "rank", "gram"), 260)
     masks = vocab.masks(packs, vocab.views(packs), 260)
     return masks.groupBy("view").agg(F.count_if(F.col("logit") == 0).alias("n_open"), F.count_if(F.col("logit") != 0).alias("n_closed"))
 
@@ -508,27 +530,27 @@ def retrieval_accuracy_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Turns of conversations as requests; the first 16 bytes of the openings as stored sequences."""
+    """Each turn with all turns of its conversation before it as a request; every request is stored for the later ones."""
     c = _table(spark, sf_dir, "conversations").filter("text is not null")
-    requests = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request"), F.encode("text", "utf-8").alias("ids"))
-    stored = requests.filter("request % 1000 = 0").select(F.col("request").alias("entry"), F.substring("ids", F.lit(1), F.lit(16)).alias("ids"))
-    return requests, stored
+    so_far = F.array_join(F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn")), "\n")
+    requests = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request"), F.encode(so_far, "utf-8").alias("ids"))
+    return requests, requests.select(F.col("request").alias("entry"), "ids")
 
 
-MATCHED = """q AS (SELECT conv_id * 1000 + turn AS request, hex(encode(text)) AS h FROM conversations WHERE text IS NOT NULL),
-st AS (SELECT h, min(request) AS entry FROM (SELECT request, substr(h, 1, 32) AS h FROM q WHERE request % 1000 = 0) WHERE length(h) >= 8 GROUP BY h),
-hits AS (SELECT request, max(struct_pack(n := length(st.h) // 2, entry := entry)) AS b FROM q JOIN st ON starts_with(q.h, st.h) GROUP BY request),
+MATCHED = """q AS (SELECT conv_id * 1000 + turn AS request, hex(encode(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn))) AS h FROM conversations WHERE text IS NOT NULL),
+st AS (SELECT h, min(request) AS entry FROM q WHERE length(h) >= 8 GROUP BY h),
+hits AS (SELECT request, max(struct_pack(n := length(st.h) // 2, entry := entry)) AS b FROM q JOIN st ON substr(st.h, 1, 8) = substr(q.h, 1, 8) AND entry < request AND starts_with(q.h, st.h) GROUP BY request),
 mt AS (SELECT q.request, b.entry AS entry, coalesce(b.n, 0)::BIGINT AS matched, (length(h) // 2)::BIGINT AS n_ids FROM q LEFT JOIN hits USING (request))"""
 
 
 @query(f"WITH {MATCHED} SELECT request, entry, matched, n_ids FROM mt")
 def prefix_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.longest_prefix(*_requests(spark, sf_dir))
+    return serving.longest_prefix(*_requests(spark, sf_dir), earlier=True)
 
 
 @query(f"WITH {MATCHED}, s AS (SELECT count(*) AS lookups, count(*) FILTER (matched > 0) AS hits, CAST(sum(matched) AS BIGINT) AS reused, CAST(sum(n_ids - matched) AS BIGINT) AS computed FROM mt) SELECT *, hits / greatest(1, lookups) AS hit_rate, CASE WHEN reused + computed > 0 THEN reused / (reused + computed) ELSE 0.0 END AS token_reuse_rate FROM s")
 def cache_reuse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.reuse(serving.longest_prefix(*_requests(spark, sf_dir)))
+    return serving.reuse(serving.longest_prefix(*_requests(spark, sf_dir), earlier=True))
 
 
 @query(f"WITH {LINES}, s AS (SELECT lang, CAST(sum(strlen(text)) AS DOUBLE) AS t FROM lines GROUP BY lang) SELECT lang, t AS tokens, 2 * 135e6 * t AS forward_flops, 6 * 135e6 * t AS reference_flops, 6 * 135e6 * t / 3.5e14 AS ratio, round(log10(6 * 135e6 * t / 3.5e14), 6) AS orders_of_magnitude FROM s")
@@ -551,11 +573,16 @@ def atlas_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(pivot), "tokenizer").select("tokenizer", "lang", "total_tokens", F.when(F.col("lang") != "en", F.col("total_tokens") / F.col("p")).alias("cost_ratio"))  # a row for each tokenizer
 
 
-@query("SELECT sha256('[\"260\",\"104,105\",\"233\"]') AS fingerprint")
+@query(f"""WITH {LINES}, s AS (SELECT lang, min_by(text, (strlen(text), hex(encode(text)))) AS probe FROM lines GROUP BY lang),
+i AS (SELECT lang, list_transform(range(1, strlen(probe) + 1), lambda k: CAST('0x' || substr(hex(encode(probe)), 2 * k - 1, 2) AS INTEGER) + 4) AS ids FROM s)
+SELECT lang, sha256('["260","' || array_to_string(ids, ',') || '"]') AS fingerprint FROM i""")
 def fingerprint_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(vocab.fingerprint([F.lit("260"), F.lit("104,105"), F.lit("233")]).alias("fingerprint"))
-
+    """The byte tokenizer's fingerprint by its size and the ids of each language's shortest line."""
+    from corpuscle.functions.text import byte_ids
 
+    body = F.encode("text", "utf-8")
+    probe = _lines(spark, sf_dir).groupBy("lang").agg(F.min_by(body, F.struct(F.octet_length("text"), F.hex(body))).alias("probe"))
+    return probe.select("lang", vocab.fingerprint([F.lit("260"), F.array_join(byte_ids(F.col("probe")), ",")]).alias("fingerprint"))
 
 
 @query(f"""WITH {LINES}, {_grams_sql(2)}, n2 AS (SELECT lang, substr(gram, 1, 2) AS a, gram, count(*) AS n FROM g2 GROUP BY 1, 2, 3), n1 AS (SELECT lang, a, sum(n) AS t, count(*) AS k FROM n2 GROUP BY 1, 2),
@@ -577,7 +604,7 @@ def bigram_bits_per_char(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuscle.functions.text import byte_ids
 
-    found = contexts.first_n(contexts.occurrences(_lines(spark, sf_dir), _small(_candidates(spark, sf_dir), 3).select("lang", "gram")), 12)
+    found = contexts.first_n(contexts.occurrences(_lines(spark, sf_dir), _small(_candidates(spark, sf_dir, 3), 3).select("lang", "gram")), 12)
     return found.select(F.concat_ws(":", "lang", F.hex("gram")).alias("token"), byte_ids(F.col("gram")).alias("ids"), byte_ids(F.col("prefix")).alias("prefix"), byte_ids(F.col("suffix")).alias("suffix"))
 
 
@@ -615,9 +642,6 @@ def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_prefix_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations' turns served as a stream through one cache."""
-    import tempfile
-    import uuid
-
     from corpuscle.streaming.prefix_cache import serve
 
     schema = "conv_id long, turn long, role string, text string"
@@ -626,9 +650,10 @@ def stream_prefix_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(schema)
     turns = source.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if is_file else source.parquet(path)
     requests = turns.filter("text is not null").select(F.lit("one").alias("cache"), (F.col("conv_id") * 1000 + F.col("turn")).alias("request"), F.encode("text", "utf-8").alias("ids"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    name = f"prefix-cache-{uuid.uuid4().hex[:12]}"
-    out, at = f"{base}/{name}-out", f"{base}/{name}-state"
+    out, at = scratch_path(spark, "prefix-cache-out"), scratch_path(spark, "prefix-cache-state")
     job = serve(requests).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(out)
+
+
+from corpuscle import catalog_views as _views  # noqa: E402, F401  registers its queries
