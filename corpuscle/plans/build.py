@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.text import N_SPECIAL, byte_ids
 from corpuscle.operators import bounds, contexts, corpus, mining, selection
-from corpuscle.plans.model import Decoder, measured, off_context, synthesized
+from corpuscle.operators.evaluation import residual_reduction
+from corpuscle.plans import synthesis
+from corpuscle.plans.cards import build_manifest
+from corpuscle.plans.model import Decoder, off_context
 from corpuscle.plans.tables import written
 
 
@@ -17,7 +21,9 @@ from corpuscle.plans.tables import written
 class Plan:
     lang: str = "fr"
     budget: int = 6
-    shortlist: int = 12
+    #: Candidates that are certified for each one of the budget, out of a pool of the largest raw savings.
+    oversample: int = 2
+    pool: int = 64
     longest: int = 8
     contexts_each: int = 64
     alpha: float = 0.2
@@ -26,12 +32,15 @@ class Plan:
     max_kl: float = 5.0
     max_tv: float = 0.95
     max_off: float = 0.05
+    max_emit: float = 12.0
+    input_only: bool = False
     off_positions: int = 512
+    config: synthesis.Config = synthesis.Config()
 
 
 def _placed(rows: DataFrame, short: DataFrame, n: int) -> DataFrame:
     found = contexts.first_n(contexts.occurrences(rows, short), n)
-    return found.select(F.hex("gram").alias("token"), byte_ids(F.col("gram")).alias("ids"), byte_ids(F.col("prefix")).alias("prefix"), byte_ids(F.col("suffix")).alias("suffix"))
+    return found.select(F.hex("gram").alias("token"), F.xxhash64("doc_id", "pos", "at").alias("context"), byte_ids(F.col("gram")).alias("ids"), byte_ids(F.col("prefix")).alias("prefix"), byte_ids(F.col("suffix")).alias("suffix"))
 
 
 def negatives(lines: DataFrame, n: int, before: int = 128, after: int = 8) -> DataFrame:
@@ -45,33 +54,72 @@ def negatives(lines: DataFrame, n: int, before: int = 128, after: int = 8) -> Da
     return at.select(byte_ids(F.substring("body", start, F.col("at") - start + 1)).alias("prefix"), byte_ids(F.substring("body", F.col("at") + 1, F.lit(after))).alias("following"))
 
 
-def build(docs: DataFrame, model: Decoder, plan: Plan = Plan()) -> DataFrame:
-    """lang, rank, gram_hex, n_occurrences, accepted, reason, kl_bound, residual_reduction, selected_step of each short-listed candidate.
+@dataclass
+class Built:
+    """entries: lang, rank, gram_hex, n_occurrences, accepted, reason, kl_bound, before, after, residual_reduction, selected_step; stages: stage, flops, seconds."""
+
+    entries: DataFrame
+    stages: DataFrame
+
+    def manifest(self) -> str:
+        return build_manifest(self.entries, self.stages).first()["manifest"]
+
+
+def shortlisted(rows: DataFrame, plan: Plan) -> DataFrame:
+    """lang, rank, gram, n_occurrences: of the `pool` best candidates by raw saving, those that a greedy run over their coverage takes first."""
+    pool = written(mining.ranked(mining.without_nested(mining.materialized(mining.mine(rows, plan.longest, held=written))), plan.pool), "pool")
+    picks = selection.greedy(written(selection.coverage(rows, pool), "mine-covers"), plan.budget * plan.oversample)
+    return pool.drop("rank").join(F.broadcast(picks.select("lang", "gram", F.col("step").alias("rank"))), ["lang", "gram"])  # budget times oversample rows
+
 
-    Mining, fitting, certification and selection each see their own slice of the corpus. What a
-    token would take out of context is bounded on positions of the other languages' lines and of
-    the certification slice.
+def run_build(docs: DataFrame, model: Decoder, plan: Plan = Plan()) -> Built:
+    """Mining, fitting, certification and selection each see their own slice of the corpus.
+
+    A token is certified on every position from its read-out to the end of its contexts, on how well
+    it is emitted where its run was, and on what it would take out of context: on positions of the
+    other languages' lines and of the certification slice.
     """
     assert model.shape.vocab >= 256 + N_SPECIAL
+    spark, stages, began = docs.sparkSession, [], time.perf_counter()
+    flops = lambda tokens: float(2 * model.n_params * tokens)
+
+    def ended(stage: str, tokens: int = 0) -> None:
+        nonlocal began
+        now = time.perf_counter()
+        stages.append((stage, flops(tokens), now - began))
+        began = now
+
+    length = lambda df: int(df.agg(F.coalesce(F.sum(F.size("prefix") + F.size("ids") + F.size("suffix")), F.lit(0))).first()[0])
     rows = written(corpus.split(corpus.numbered(corpus.lines(docs).filter(F.col("lang") == plan.lang))), "lines")
     part = lambda name: rows.filter(F.col("split") == name).select("doc_id", "lang", "pos", "text")
-    short = written(mining.ranked(mining.without_nested(mining.materialized(mining.mine(part("mine"), plan.longest, held=written))), plan.shortlist), "short")
-    fitted = written(synthesized(_placed(part("fit"), short, plan.contexts_each), model), "rows")
-    drift = written(measured(_placed(part("certify"), short, plan.contexts_each), fitted, model), "drift")
-    kl = bounds.conformal(drift, "token", "kl", plan.alpha, plan.delta)
-    tv = bounds.conformal(drift, "token", "tv", plan.alpha, plan.delta).select("token", F.col("bound").alias("tv"))
+    short = written(shortlisted(part("mine"), plan), "short")
+    ended("mine")
+    fit_contexts = written(_placed(part("fit"), short, plan.contexts_each), "fit-contexts")
+    fitted = written(synthesis.fitted(fit_contexts, model, plan.config), "rows")
+    ended("fit", length(fit_contexts) * (2 + plan.config.rounds * (plan.config.q + 1)))
     others = corpus.lines(docs).filter(F.col("lang") != plan.lang).select("doc_id", "lang", "pos", "text")
     probe = written(negatives(others.unionByName(part("certify")), plan.off_positions, after=max(8, plan.longest)), "negatives")
-    fired = written(off_context(probe, fitted.join(short.select(F.hex("gram").alias("token"), byte_ids(F.col("gram")).alias("ids")), "token"), model), "off")
-    off = bounds.conformal(fired, "token", "mass", plan.alpha, plan.delta).select("token", F.col("bound").alias("off"))
-    reason = bounds.decision(F.coalesce("n", F.lit(0)), F.col("bound"), F.col("tv"), F.col("off"), F.lit(0.0), least_n=plan.least_n, max_kl=plan.max_kl, max_tv=plan.max_tv, max_off=plan.max_off, max_emit=1.0, input_only=True)
-    judged = written(short.withColumn("token", F.hex("gram")).join(kl, "token", "left").join(tv, "token", "left").join(off, "token", "left").join(fitted.select("token", "before", "after"), "token", "left").withColumn("reason", reason), "judged")
+    token_ids = short.select(F.hex("gram").alias("token"), byte_ids(F.col("gram")).alias("ids"))
+    off = written(off_context(probe, fitted.join(token_ids, "token"), model), "off")
+    contexts_ = written(_placed(part("certify"), short, plan.contexts_each), "certify-contexts")
+    limits = {k: getattr(plan, k) for k in ("alpha", "delta", "least_n", "max_kl", "max_tv", "max_off", "max_emit", "input_only")}
+    certified = written(synthesis.certified(contexts_, fitted, model, off, **limits), "certified")
+    ended("certify", 2 * length(contexts_) + int(probe.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]))
+    judged = short.withColumn("token", F.hex("gram")).join(certified, "token", "left").join(fitted.select("token", "before", "after"), "token", "left")
+    judged = written(judged.withColumn("reason", F.when(F.col("accepted").isNull(), F.lit(bounds.REASONS[0])).otherwise(F.col("reason"))), "judged")
     good = judged.filter(F.col("reason").isNull()).select("lang", "gram")
     if good.isEmpty():
-        steps = docs.sparkSession.createDataFrame([], "lang string, step int, gram binary, gain long")
+        steps = spark.createDataFrame([], "lang string, step int, gram binary, gain long")
     else:
         steps = selection.greedy(written(selection.coverage(part("eval"), good), "covers"), plan.budget)
-    residual = F.when(F.col("before") > 0, F.greatest(F.lit(0.0), 1 - F.col("after") / F.col("before"))).otherwise(0.0)
-    return judged.join(steps.select("gram", F.col("step").alias("selected_step")), "gram", "left").select(
-        "lang", "rank", F.col("token").alias("gram_hex"), "n_occurrences", F.col("reason").isNull().alias("accepted"), "reason", F.col("bound").alias("kl_bound"), residual.alias("residual_reduction"), "selected_step"
-    )
+    ended("select")
+    entries = judged.join(F.broadcast(steps.select("gram", F.col("step").alias("selected_step"))), "gram", "left").select(  # a budget's rows
+        "lang", "rank", F.col("token").alias("gram_hex"), "n_occurrences", F.col("reason").isNull().alias("accepted"), "reason", F.col("kl").alias("kl_bound"), "before", "after",
+        residual_reduction(F.col("before"), F.col("after")).alias("residual_reduction"), "selected_step",
+    )
+    return Built(entries, spark.createDataFrame(stages, "stage string, flops double, seconds double"))
+
+
+def build(docs: DataFrame, model: Decoder, plan: Plan = Plan()) -> DataFrame:
+    """lang, rank, gram_hex, n_occurrences, accepted, reason, kl_bound, residual_reduction, selected_step of each short-listed candidate."""
+    return run_build(docs, model, plan).entries.drop("before", "after")

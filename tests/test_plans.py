@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.catalog import QUERIES
-from corpuscle.plans.build import Plan, build
+from corpuscle.plans.build import Plan, build, run_build
 from corpuscle.plans.model import Decoder, Shape, compose, drift_of, log_softmax, off_context, output_row, synthesize
 from corpuscle.streaming.prefix_cache import Cache, serve
 
@@ -78,7 +78,7 @@ def test_off_context_mass_equals_the_appended_model(spark):
 
 def test_build_refuses_tokens_that_fire_out_of_context(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    loose = dict(max_kl=1e9, max_tv=1.0, least_n=1)
+    loose = dict(max_kl=1e9, max_tv=1.0, least_n=1, max_emit=1e9, longest=3)
     got = {m: build(docs, Decoder(), Plan(**loose, max_off=m)).collect() for m in (0.0, 1.0)}
     passed = {r.gram_hex for r in got[1.0] if r.accepted}
     assert passed and {r.gram_hex for r in got[0.0] if r.reason == "offcontext_above"} == passed
@@ -86,8 +86,11 @@ def test_build_refuses_tokens_that_fire_out_of_context(spark):
 
 def test_build_mines_runs_of_eight_bytes(spark):
     rows = [(k, "fr", f"{k}bonsoir!{k * 7}") for k in range(60)]
-    got = build(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Decoder()).collect()
-    assert b"bonsoir!".hex().upper() in {r.gram_hex for r in got}
+    built = run_build(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Decoder())
+    assert b"bonsoir!".hex().upper() in {r.gram_hex for r in built.entries.collect()}
+    stages = {r.stage: r for r in built.stages.collect()}
+    assert set(stages) == {"mine", "fit", "certify", "select"} and stages["fit"].flops > 0 and all(r.seconds > 0 for r in stages.values())
+    assert '"acceptance_rate"' in built.manifest()
 
 
 def test_logprob_sums_to_one():
