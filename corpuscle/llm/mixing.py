@@ -10,9 +10,11 @@ training position by the demand of all sources together, and documents are range
 
 Prefix sums run over parts of a source, so a source of any size is many tasks.
 
-Defined results: a null text has size 0 and takes 0 words; a null source is the last source; ties
-in the order have equal ids and sizes, so reruns agree; documents of which nothing is taken have
-no position; an empty table gives an empty one.
+Defined results: a null text has size 0 and takes 0 words, and so has a source, or a table, whose
+texts hold no words: its target is 0; a null source is the last source; null ids are dealt over the
+parts by a hash of their texts; ties in the order have equal ids, sizes and texts' hashes, so reruns
+agree; documents of which nothing is taken have no position; other columns are carried, whatever
+their names; a very long text is one row like any other; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     full = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
     before = full.rowsBetween(Window.unboundedPreceding, -1)
     left = full.rowsBetween(0, Window.unboundedFollowing)
-    level = (SHARE * F.sum("source_size").over(every) - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(left)
+    level = (SHARE * F.sum("source_size").over(every) - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(left)  # weights are positive
     levelled = weighed.withColumn("level", level)
     target = F.least(F.col("source_size") * F.lit(float(MOST)), F.col("weight") * F.max("level").over(every))
     aimed = levelled.withColumn("target", target).withColumn("goal", F.round("target").cast("long"))
@@ -62,7 +64,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 def _position(at: Column) -> Column:
     """Training position at which word `at` of a source's demand is due."""
     a, b = F.col("a"), F.col("b")
-    due = (at / F.col("goal")) * (a + b) / 2  # integral of the schedule until then
+    due = F.try_divide(at, F.col("goal")) * (a + b) / 2  # integral of the schedule until then
     time = F.when(a == b, due / a).otherwise((F.sqrt(a * a + 2 * (b - a) * due) - a) / (b - a))
     return F.col("linear") * time + F.col("square") * time * time
 
@@ -73,7 +75,7 @@ def laid_out(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", source: s
     wide: `keep` has large columns; sizes are then counted twice instead of writing those columns.
     """
     spark = docs.sparkSession
-    order = F.xxhash64(F.col(doc_id), F.lit(8))
+    order = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))), F.lit(8))
     rows = docs.select(*keep, F.col(source).alias("_source"), F.col(doc_id).alias("_id"), word_count(F.col(text)).alias("_size"), order.alias("_order")).withColumn("_part", F.pmod("_order", F.lit(PARTS)).cast("int"))
     narrow = common.written(spark, rows.select("_source", "_part", "_size") if wide else rows, "sizes")
     parts = common.written(spark, narrow.groupBy("_source", "_part").agg(F.sum("_size").alias("part_size")), "parts")
