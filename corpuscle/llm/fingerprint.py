@@ -2,7 +2,7 @@
 
 Each run of five words is hashed once; the top bits of the hash name its bin and the least hash
 of a bin is kept. An empty bin takes the value of a full one by optimal densification: it probes
-bins in an order of its own, the same for all texts, until it meets a full one. The low 8 bits of
+all bins in an order of its own, the same for all texts, until it meets a full one. The low 8 bits of
 each bin are packed into a string of hex digits. Of two fingerprints, the share of equal bins is
 corrected for the 1/256 of bins that agree by chance.
 
@@ -23,13 +23,13 @@ from corpuscle.llm import common
 
 BIN_BITS, WIDTH, LOW_BITS = 7, 5, 8
 BINS = 1 << BIN_BITS
-#: Probes of each bin before all bins are tried in order.
-PROBES = 24
+#: Probes that are written out one by one; where all of them fail, all bins are asked at once in the same order.
+PROBES = 8
 
 
 def _probe_order(bin_no: int) -> list[int]:
-    """Bins that an empty bin asks, each attempt hashed anew."""
-    return [int.from_bytes(hashlib.blake2b(f"{bin_no}:{attempt}".encode(), digest_size=4).digest(), "little") % BINS for attempt in range(PROBES)]
+    """All bins in the order in which this one, if empty, asks them."""
+    return sorted(range(BINS), key=lambda k: hashlib.blake2b(f"{bin_no}:{k}".encode(), digest_size=8).digest())
 
 
 def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -47,9 +47,10 @@ def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     dense = F.when(F.size(m) == BINS, F.transform(m, low)).when(F.size(m) > 0, F.concat(led, none(BINS - 1 - bin_of(F.get(m, F.size(m) - 1))))).otherwise(F.array().cast("array<int>"))
     orders = [_probe_order(b) for b in range(BINS)]
     attempts = [F.array(*[F.lit(o[t]) for o in orders]) for t in range(PROBES)]
-    any_full = F.get(F.filter(F.col(d), lambda x: x.isNotNull()), F.lit(0))
+    every = F.array(*[F.array(*[F.lit(k) for k in o]) for o in orders])
+    first_full = lambda i: F.get(d, F.get(F.filter(F.get(every, i), lambda k: F.get(d, k).isNotNull()), F.lit(0)))
     # coalesce stops at the first full bin
-    filled = F.when((F.size(d) == 0) | ~F.exists(d, lambda x: x.isNull()), F.col(d)).otherwise(F.transform(F.col(d), lambda x, i: F.coalesce(x, *[F.get(d, F.get(a, i)) for a in attempts], any_full)))
+    filled = F.when((F.size(d) == 0) | ~F.exists(d, lambda x: x.isNull()), F.col(d)).otherwise(F.transform(F.col(d), lambda x, i: F.coalesce(x, *[F.get(d, F.get(a, i)) for a in attempts], first_full(i))))
     steps = ((w, words), (h, F.transform(w, lambda x: F.xxhash64(x))), (s, F.sort_array(runs)), (m, least), (d, dense), (to, filled))
     for name, value in steps:  # a column of its own for each step, since the next reads it more than once
         df = df.select(*columns, value.alias(name))
