@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import common, hash_table
-from corpuscle.llm.words import RAW, Words, mix, prefix, signed, spans, string_hash
+from corpuscle.llm.words import Words, mix, signed, string_hash, value_spans
 
 #: A null id counts as the largest.
 NO_ID = (1 << 63) - 1
@@ -34,19 +34,34 @@ def host_hashes(hosts: pa.Array) -> np.ndarray:
 def lines_of(words: Words, hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and end of each line that has words, and its key; hosts: by text of the run."""
     first, last = words.lines()
-    key = spans(prefix(words.hashes(lower=True)), first, last)
+    key = value_spans(words.hashes(lower=True), first, last)
     if len(first):
         key = mix(key ^ mix(hosts.view(np.uint64)[words.text[first]] ^ _HOST))
     return first, last, signed(key)
 
 
-def contents(words: Words) -> np.ndarray:
-    """A signed hash of each whole text."""
-    return signed(spans(prefix(RAW[words.data]), words.offsets[:-1], words.offsets[1:]))
+def without_lines(words: Words, start: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, str]]:
+    """For each text that has lines to drop, its number and what is left of it; start, text: first byte of each such line, and its text."""
+    for k, starts in zip(np.unique(text).tolist(), np.split(start, np.flatnonzero(np.diff(text)) + 1), strict=bool(len(start))):
+        out, pos, drop = [], int(words.offsets[k]), set(starts.tolist())
+        for line in words.data[words.offsets[k] : words.offsets[k + 1]].tobytes().split(b"\n"):
+            if pos not in drop:
+                out.append(line)
+            pos += len(line) + 1
+        yield k, b"\n".join(out).decode("utf-8", "replace")
+
+
+def replaced(column: pa.Array, changed: dict[int, str]) -> pa.Array:
+    """The column with some texts put in place of its own."""
+    if not changed:
+        return column
+    mask = np.zeros(len(column), bool)
+    mask[list(changed)] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array(changed.values(), column.type))
 
 
 def line_rows(docs: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
-    """host, key, content, doc: a row for each document and distinct line, and one with key = host for the document itself."""
+    """host, key, doc: a row for each document and distinct line, and one with key = host for the document itself."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,26 +77,22 @@ def line_rows(docs: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
                 key, at = key[new], at[new]
-                of, what = np.arange(words.n), contents(words)
-                who = np.concatenate((of, at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (hosts[lo:hi][who], np.concatenate((hosts[lo:hi], key)), what[who], ids[lo:hi][who])],
-                    names=["host", "key", "content", "doc"],
-                )
+                who = np.concatenate((np.arange(words.n), at))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hosts[lo:hi][who], np.concatenate((hosts[lo:hi], key)), ids[lo:hi][who])], names=["host", "key", "doc"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(host).cast("string"), F.col(text).cast("string")).mapInArrow(run, "host long, key long, content long, doc long")
+    return docs.select(F.col(doc_id).cast("long"), F.col(host).cast("string"), F.col(text).cast("string")).mapInArrow(common.released(run), "host long, key long, doc long")
 
 
-def common_lines(counts: DataFrame, least: int, percent: float, keeper: str, name: str) -> hash_table.HashTable:
-    """Lines whose n is `least` or more and over `percent` of their host's, with the column `keeper`.
+def common_lines(counts: DataFrame, least: int, percent: float, name: str) -> hash_table.HashTable:
+    """Lines whose n is `least` or more and over `percent` of their host's.
 
-    counts: host, key, n and keeper, a row for each line, and for each host with key = host.
+    counts: host, key and n, a row for each line, and for each host with key = host.
     """
     spark = counts.sparkSession
     many = common.written(spark, counts.filter((F.col("key") == F.col("host")) | (F.col("n") >= least)), name)
     total = many.filter("key = host").select("host", F.col("n").alias("total"))
     # few rows: a host has at most 100 / percent times its mean number of lines
-    found = many.filter("key <> host").join(total, "host").filter(F.col("n") * 100 > F.col("total") * F.lit(percent)).select("key", keeper)
-    out = hash_table.write_table(spark, found, "key", {keeper: "i8"}, common.scratch_path(spark, name), bits=6)
+    found = many.filter("key <> host").join(total, "host").filter(F.col("n") * 100 > F.col("total") * F.lit(percent)).select("key")
+    out = hash_table.write_table(spark, found, "key", {}, common.scratch_path(spark, name), common.bucket_bits(many, 1 << 20))
     common.dropped(spark, many)
     return out
