@@ -28,7 +28,7 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(common.table(spark, sf_dir, "documents")).drop("content")
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents")).drop("key")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
