@@ -6,7 +6,9 @@ flat arrays, so a batch of documents descends all trees with a few NumPy steps f
 
 Defined results: a null text is empty and has a score; a null doc_id is held out; null labels
 teach nothing, and of several labels of one document the mean counts; without labels the score is
-0.5; repeated rows get equal scores; an empty table gives an empty one.
+0.5; repeated rows teach once and get equal scores; ties of the sample's order are ties of ids; a
+very long text is a run of its own; a column of `keep` that has the name of a made one gives way to
+it; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import common
 from corpuscle.llm.lm import held_out
-from corpuscle.llm.words import RAW, Words, mix, prefix, spans, windows
+from corpuscle.llm.words import Words, byte_spans, mix, windows
 
 #: Bound of the sample that the trees are fitted on.
 MAX_TRAIN = 30_000
@@ -67,7 +69,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of_line = text[line]
     lines = np.maximum(np.bincount(of_line, minlength=n), 1)
     start, end = words.line_bytes(line)
-    _, one, same = np.unique(mix(spans(prefix(RAW[data]), start, end) + mix(of_line.astype(np.uint64))), return_index=True, return_counts=True)
+    _, one, same = np.unique(mix(byte_spans(data, start, end) + mix(of_line.astype(np.uint64))), return_index=True, return_counts=True)
     columns = [
         np.log1p(count), by(length) / safe, by(length > 12) / safe, by(length <= 2) / safe,
         np.log(lines), count / lines, by((last - line) <= 3, of_line) / lines, by(same - 1, of_line[one]) / lines,
@@ -147,7 +149,7 @@ def featured(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             for lo, hi, data, offsets in common.chunks(batch.column(len(keep))):
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), pa.array(list(features(data, offsets)), pa.list_(pa.float32()))], names=[*keep, "features"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
@@ -156,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = taught.groupBy("_id").agg(F.avg("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN)
     # at most MAX_TRAIN rows of two numbers
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_body")).join(F.broadcast(sample), "_id")
-    got = featured(rows, ["_id", "_y"], "_body").collect()
+    once = featured(rows, ["_id", "_y"], "_body").dropDuplicates(["_id", "features"])  # of repeated rows one teaches
+    got = once.orderBy(F.xxhash64("_id"), "_id", "features").limit(MAX_TRAIN).collect()
     got.sort(key=lambda r: (r["_id"], r["features"]))
     return fit(np.array([r["features"] for r in got], np.float32), np.array([r["_y"] for r in got]))
 
@@ -164,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def scored(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, then score and predicted."""
     common.ship(docs.sparkSession)
+    keep = [c for c in keep if c not in ("score", "predicted")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +176,7 @@ def scored(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -
                 score = trees.score(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,8 @@ that training has not seen has the share of one unseen word of the uniform distr
 
 Defined results: a null text is empty and has the end token alone; a null doc_id is held out;
 repeated rows count as often as they stand there; without training rows every score is 0 for
-every token; an empty table gives an empty one.
+every token; a very long text is a run of its own; a column of `keep` that has the name of a made
+one gives way to it; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -161,7 +162,9 @@ def count_bigrams(train: DataFrame, bits: int, uri: str) -> tuple[hash_table.Has
             hash_table.put(f"{uri}/large/{name}", [keys[many], counts[many]])
         return pa.table({"first": [bucket << (64 - bits)], "n": [len(keys)], "n_large": [int(many.sum())], "name": [name], **{f"n{k}": [int((counts == k).sum())] for k in (1, 2, 3, 4)}})
 
-    made = train.mapInArrow(count, "bucket long, ids binary, counts binary").groupBy("bucket").applyInArrow(add, "first long, n long, n_large long, name string, n1 long, n2 long, n3 long, n4 long").collect()  # a row for each of 2 ** bits ranges
+    # so many tasks that each sums some ranges, however large the corpus
+    n = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << max(0, bits - 2))
+    made = train.mapInArrow(common.released(count), "bucket long, ids binary, counts binary").repartition(n, "bucket").groupBy("bucket").applyInArrow(add, "first long, n long, n_large long, name string, n1 long, n2 long, n3 long, n4 long").collect()  # a row for each of 2 ** bits ranges
     table = lambda kind, n, which: hash_table.HashTable([kind], sorted((r["first"], r[n], f"{uri}/{which}/{r['name']}") for r in made if r[n]))
     return table("u1", "n", "bigrams"), table("i8", "n_large", "large"), tuple(sum(r[f"n{k}"] for r in made) for k in (1, 2, 3, 4))
 
@@ -196,7 +199,7 @@ def word_facts(train: DataFrame, bigrams: hash_table.HashTable, large: hash_tabl
         if held:
             yield out()
 
-    partial = train.mapInArrow(run, "word long, c long, one long, two long, more double, cont_one long, cont_more double")
+    partial = train.mapInArrow(common.released(run), "word long, c long, one long, two long, more double, cont_one long, cont_more double")
     sums = partial.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
     return sums.select("word", "c", "one", F.expr("two div 2").alias("two"), F.round("more").cast("long").alias("more"), (F.col("cont_one") + F.round("cont_more").cast("long")).alias("cont"))
 
@@ -218,6 +221,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
 
 def perplexity(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, then n_tokens, n_known, train_tokens, base_score, score and perplexity."""
+    keep = [c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +231,7 @@ def perplexity(docs: DataFrame, model: Model, keep: list[str], text: str = "text
                 columns = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.n_tokens, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / n))]
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), *columns], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
