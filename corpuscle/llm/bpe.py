@@ -12,7 +12,9 @@ gathered in the texts' order.
 
 Defined results: a null text counts as empty and has no ids; special tokens of the vocabulary
 that stand in a text become their id, as in the library; rows are never dropped, repeated rows
-stay repeated, columns of the input that are not asked for do not matter.
+stay repeated, columns of the input that are not asked for do not matter, and one of `keep` that has
+the name of a made one gives way to it; a very long text is a run of its own; an empty table gives an
+empty one. Pieces are told apart by 64 bits of a hash among the few 100,000 that a worker keeps.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuscle.llm import common
-from corpuscle.llm.words import RAW, prefix, spans
+from corpuscle.llm.words import byte_spans
 
-#: Distinct pieces that a worker keeps; then it starts anew.
-KEPT_PIECES = 1_500_000
+#: Distinct pieces that a worker keeps, some 30 MB; then it starts anew.
+KEPT_PIECES = 800_000
 #: Of other fragments than whole words.
-KEPT_FRAGMENTS = 100_000
+KEPT_FRAGMENTS = 50_000
 #: Texts are encoded in runs of about so many bytes.
 RUN_BYTES = 4 << 20
 _CUT = re.compile(r"[ \n](?=\S)")
@@ -63,6 +65,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+_SHOWN = np.array([ord(c) for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])], "<u2")
+
+
 class _Pieces:
     """Ids of the distinct pieces that a worker has met, in arrays sorted by the pieces' hashes."""
 
@@ -74,9 +79,8 @@ class _Pieces:
         at = np.searchsorted(self.keys, keys)
         return np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != keys) if len(self.keys) else np.arange(len(keys))
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """keys: sorted, none of them known."""
-        body, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) >> 2 for x in ids], np.int32)
+    def add(self, keys: np.ndarray, body: np.ndarray, size: np.ndarray) -> None:
+        """keys: sorted, none of them known; body: ids of all, one after another."""
         if self.used + len(body) > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(len(self.flat) + len(body), np.uint32)))
         self.flat[self.used : self.used + len(body)] = body
@@ -107,6 +111,10 @@ class ForcedBoundaryBPE:
         vocabulary = spec["model"]["vocab"]
         #: Pairs of adjacent bytes inside an entry; any other pair is a certain cut.
         self.inside = {pair for word in vocabulary for pair in map("".join, zip(word, word[1:], strict=False))}
+        self.inside_bytes = np.zeros((256, 256), bool)
+        for a, b in self.inside:
+            if a in alphabet and b in alphabet:
+                self.inside_bytes[alphabet[a], alphabet[b]] = True
         self.size = max([*vocabulary.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * self.size
         for word, k in vocabulary.items():
@@ -151,6 +159,39 @@ class ForcedBoundaryBPE:
         shown = self.library.pre_tokenizer.pre_tokenize_str(piece)
         return b"".join(self._fragment(f) for word, _ in shown for f in self.fragments_of(word))
 
+    def _made(self, data: np.ndarray, whole: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of a run, one after another, and the number of each."""
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        # a piece of ASCII letters, with a space before them or not, is one run of the pre-tokenizer
+        odd = np.concatenate(([0], np.cumsum(~_LETTER[data], dtype=np.int32)))
+        word = (odd[end] == odd[start + (data[start] == 0x20)]) & (end > start + (data[start] == 0x20))
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = ~self.inside_bytes[data[:-1], data[1:]]
+        cuts = np.flatnonzero(cut)
+        a, b = start[word], end[word]
+        lo = np.searchsorted(cuts, a, "right")
+        size = np.searchsorted(cuts, b) - lo
+        own = np.repeat(np.arange(len(a)), size)
+        at = cuts[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(len(own))]
+        # fragments: each word from its start to the first certain cut, and so on to its end
+        begins, ends = np.insert(at, np.cumsum(size) - size, a), np.insert(at, np.cumsum(size), b)
+        shown, tokenize = _SHOWN[data].tobytes().decode("utf-16-le"), self.tokenize
+        ids: list[int] = []
+        marks = [0]
+        for x, y in zip(begins.tolist(), ends.tolist(), strict=True):
+            ids += [t.id for t in tokenize(shown[x:y])]
+            marks.append(len(ids))
+        of_word = np.diff(np.array(marks)[np.concatenate(([0], np.cumsum(size + 1)))])
+        others = np.flatnonzero(~word)
+        rest = [self._piece(whole[x:y].decode("utf-8", "replace")) for x, y in zip(start[others].tolist(), end[others].tolist(), strict=True)]
+        sizes = np.zeros(len(start), np.int64)
+        sizes[word], sizes[others] = of_word, [len(x) >> 2 for x in rest]
+        mine = np.repeat(word, sizes)
+        out = np.empty(len(mine), np.uint32)
+        out[mine], out[~mine] = ids, np.frombuffer(b"".join(rest), "<u4")
+        return out, sizes.astype(np.int32)
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text, special tokens included."""
         parts = self.split.split(text) if self.split else [text]
@@ -179,11 +220,10 @@ class ForcedBoundaryBPE:
         cut[offsets] = True
         at = np.flatnonzero(cut)
         start, end = at[:-1], at[1:]
-        keys, first, back = np.unique(spans(prefix(RAW[data]), start, end), return_index=True, return_inverse=True)
+        keys, first, back = np.unique(byte_spans(data, start, end), return_index=True, return_inverse=True)
         pieces, whole = self.pieces, data.tobytes()
         new = pieces.missing(keys)
-        made = [self._piece(whole[a:b].decode("utf-8", "replace")) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-        pieces.add(keys[new], made)
+        pieces.add(keys[new], *self._made(data, whole, start[first[new]], end[first[new]]))
         begin, size = pieces.of(keys)
         counts = np.concatenate(([0], np.cumsum(size[back], dtype=np.int64)))
         out = gathered(pieces.flat, begin, size, back), np.diff(counts[np.searchsorted(start, offsets)])
@@ -222,6 +262,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     """The columns `keep`, then n_tokens, ids_sha256 and decoded_sha256; with_ids: also the ids and the decoded text."""
     common.ship(docs.sparkSession)
     path = path or default_path()
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]))
     kept = docs.select(*keep).schema
     out = f"{''.join(f'`{f.name}` {f.dataType.simpleString()}, ' for f in kept)}n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
@@ -242,4 +283,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
                     columns += [pa.array([x.view("<i4") for x in own], pa.list_(pa.int32())), pa.array([d.decode() for d in decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(keep)]), *columns], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]])
 
-    return docs.select(*keep, text).mapInArrow(run, out)
+    return docs.select(*keep, text).mapInArrow(common.released(run), out)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Iterator
-from pathlib import Path
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuscle.plans import tables
+from corpuscle.plans.tables import scratch_path
+
 #: A word is a run of bytes outside this class; it is also what bytes.split() splits on.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
@@ -28,31 +27,28 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":  # texts are long; a batch of Spark's own size would hold tens of megabytes, several times over
         spark.conf.set(rows, "1500")
-    sc = spark.sparkContext
-    if getattr(sc, "_corpuscle_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp()), "corpuscle_ship.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted((root / "corpuscle").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(target)
-    sc._corpuscle_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that all executors share; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{os.path.realpath(tempfile.mkdtemp(prefix='corpuscle-'))}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    tables.ship(spark)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives free memory back: workers live on between tasks, and the allocators would keep their peaks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    from corpuscle.llm import hash_table
+
+    hash_table.close()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -46,25 +46,30 @@ def put(uri: str, arrays: list[np.ndarray]) -> None:
 _open: dict[str, list[np.ndarray]] = {}
 
 
-def _fetched(uri: str) -> str:
+def close() -> None:
+    """Drops the maps of a task; what no lookup holds any more goes."""
+    _open.clear()
+
+
+def _map(uri: str) -> np.ndarray:
     if path := local(uri):
-        return path
+        return np.memmap(path, np.uint8, "r")
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    fd, to = tempfile.mkstemp()
-    with store.open_input_stream(path) as f, os.fdopen(fd, "wb") as out:
-        while part := f.read(8 << 20):
-            out.write(part)
-    return to
+    with tempfile.TemporaryFile() as copy:  # nameless, so it goes with its map
+        with store.open_input_stream(path) as f:
+            while part := f.read(8 << 20):
+                copy.write(part)
+        copy.flush()
+        return np.memmap(copy, np.uint8, "r")
 
 
 def mapped(uri: str, n: int, kinds: list[str]) -> list[np.ndarray]:
     if (got := _open.get(uri)) is None:
         if len(_open) > 4096:
             _open.clear()
-        path, at, got = _fetched(uri), 0, []
-        whole = np.memmap(path, np.uint8, "r")
+        whole, at, got = _map(uri), 0, []
         for kind in ["i8", *kinds]:
             size = n * np.dtype(kind).itemsize
             got.append(whole[at : at + size].view(kind))

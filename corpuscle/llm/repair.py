@@ -182,7 +182,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, doc
         if ids:
             yield out()
 
-    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(common.released(run), FILE_SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -211,5 +211,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     columns["ids"] = pa.array([whole[a:b].astype(np.int32) for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    docs = files.select("shard", "shard_start", "doc_ids", "doc_tokens", "grammar").mapInArrow(run, out)
+    docs = files.select("shard", "shard_start", "doc_ids", "doc_tokens", "grammar").mapInArrow(common.released(run), out)
     return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

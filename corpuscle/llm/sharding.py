@@ -48,7 +48,7 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     body = F.coalesce(F.col(text), F.lit(""))
     facts = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(F.col(key)).alias("hashed"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = facts.mapInArrow(run, f"`{key}` {kind}, size long, text_crc32 long, shard int, grown_shard int")
+    rows = facts.mapInArrow(common.released(run), f"`{key}` {kind}, size long, text_crc32 long, shard int, grown_shard int")
     rows = common.written(spark, rows.withColumn("part", F.pmod(F.xxhash64(key, "text_crc32"), F.lit(PARTS)).cast("int")), "shards")
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))

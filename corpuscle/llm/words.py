@@ -1,7 +1,9 @@
 """Vectorised hashing of words, lines and shingles over the bytes of many texts at once.
 
-A prefix sum of byte values times powers of an odd number gives the hash of any span in
-constant time, since odd numbers have inverses modulo 2**64.
+A span of bytes is cut into pieces of eight. Each piece is mixed with a key of its place in the
+span, by a bijection that spreads every bit, and the mixed pieces are summed; so a span hashes
+alike wherever it stands, and no structure of texts (as of Thue and Morse's, on which polynomials
+modulo a power of two fail) makes spans collide. Spans of 64-bit values are hashed likewise.
 """
 
 from __future__ import annotations
@@ -10,25 +12,12 @@ import hashlib
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _C = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_values = np.frombuffer(hashlib.shake_128(b"corpuscle bytes").digest(2048), np.uint64)
-RAW = _values.copy()
-LOWER = _values.copy()
-LOWER[65:91] = _values[97:123]
-_powers = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
-
-
-def powers(n: int, which: str = "p") -> np.ndarray:
-    if len(_powers[which]) < n:
-        made = np.full(max(n, 1 << 21), _BASE if which == "p" else _INVERSE, np.uint64)
-        made[0] = 1
-        _powers[which] = np.cumprod(made)
-    return _powers[which][:n]
+#: Keeps the first k bytes of a piece.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,15 +34,56 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
-    return out
+def _keys(n: int) -> np.ndarray:
+    """Of the places 0 to n - 1."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _C[0])
+
+
+def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values that begin at first, none of them empty."""
+    return np.add.reduceat(values, first) if len(first) else np.zeros(0, np.uint64)
+
+
+def _places(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of these sizes, one after another: first index of each, and run and place of each element."""
+    first = np.cumsum(size) - size
+    run = np.repeat(np.arange(len(size)), size)
+    return first, run, np.arange(len(run)) - first[run]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << 5)
+
+
+def byte_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
+    eights = np.zeros((len(data) >> 3) + 2, np.uint64)
+    eights.view(np.uint8)[: len(data)] = data
+    size = end - start
+
+    def piece(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return ((eights[word] >> shift) | (eights[word + 1] << (np.uint64(63) - shift) << np.uint64(1))) & _FIRST[np.minimum(left, 8)]
+
+    out = mix(piece(start, size) ^ _C[1])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        first, run, place = _places((size[long] - 1) >> 3)
+        done = 8 * (place + 1)
+        out[long] += _summed(mix(piece(start[long][run] + done, size[long][run] - done) + _keys(int(place.max()) + 1)[place]), first)
+    return mix(out + size.astype(np.uint64) * _C[2])
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    back = powers(len(sums), "i")
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _C[0])
+def value_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of 64-bit values."""
+    size = end - start
+    full = np.flatnonzero(size)
+    out = np.zeros(len(size), np.uint64)
+    if len(full):
+        first, run, place = _places(size[full])
+        out[full] = _summed(mix(values[start[full][run] + place] + _keys(int(place.max()) + 1)[place]), first)
+    return mix(out + size.astype(np.uint64) * _C[2])
 
 
 def string_hash(s: str | None) -> int:
@@ -86,7 +116,7 @@ class Words:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
     def hashes(self, lower: bool = True) -> np.ndarray:
-        return spans(prefix((LOWER if lower else RAW)[self.data]), self.start, self.end)
+        return byte_spans(lowered(self.data) if lower else self.data, self.start, self.end)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and one past the last word of each line that has a word."""

@@ -34,6 +34,20 @@ def test_jump_moves_only_into_the_new_shard():
     assert np.bincount(old).min() > 1700
 
 
+def test_jump_equals_the_scalar_definition():
+    def one(key, shards):
+        b, j = -1, 0
+        while j < shards:
+            b = j
+            key = (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int(float(b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    keys = [0, 1, (1 << 64) - 1, *np.random.default_rng(1).integers(0, 1 << 63, 500).tolist()]
+    for shards in (1, 2, 8, 9, 1000):
+        assert sharding.jump(np.array(keys, np.uint64), shards).tolist() == [one(k, shards) for k in keys]
+
+
 def water(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
@@ -72,6 +86,44 @@ def test_mix(docs, rows, empty, wide):
     assert mixing.curriculum(empty).collect() == []
 
 
+def test_positions_invert_the_demand(docs, rows):
+    """Each pass stands where the sources' demand, integrated step by step, has reached its first word."""
+    found = mixing.laid_out(docs, ["doc_id", "source"]).collect()
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    goal = {r.source: round(r.target) for r in found}
+    slope = {s: mixing.SCHEDULES[k % 3] for k, s in enumerate(names)}
+    steps = 20_000
+    times = (np.arange(steps) + 0.5) / steps
+    rate = {s: goal.get(s, 0) * (a + (b - a) * times) / ((a + b) / 2) / steps for s, (a, b) in slope.items()}
+    demand = {s: np.concatenate(([0], np.cumsum(r))) for s, r in rate.items()}
+    whole = sum(demand.values())
+    by_source = collections.defaultdict(list)
+    for r in found:
+        for k, p in enumerate(r.passes):
+            by_source[r.source].append((k, p.position, p.words, r.doc_id))
+    for s, passes in by_source.items():
+        at = 0
+        for k, position, words, _ in sorted(passes, key=lambda p: (p[0], p[1])):
+            due = np.interp(at, demand[s], np.arange(steps + 1))
+            assert abs(np.interp(due, np.arange(steps + 1), whole) - position) < 1e-3 * whole[-1] + 1
+            at += words
+        assert at == goal[s] and len({p[0] for p in passes}) == (2 if goal[s] > sum(r.size for r in found if r.source == s) else 1)
+
+
+def test_sources_without_words(spark, docs, empty):
+    schema = docs.schema
+    got = {r.doc_id: r for r in mixing.curriculum(docs).collect()}
+    assert all((got[4100 + k].size, got[4100 + k].target, got[4100 + k].taken, got[4100 + k].position) == (0, 0.0, 0, None) for k in range(3))
+    for texts in ([None, None], ["", " \n"], [None, ""]):
+        bare = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], schema)
+        assert [(r.size, r.target, r.taken) for r in mixing.curriculum(bare).collect()] == [(0, 0.0, 0)] * 2
+        assert mixing.mixed(bare).collect() == []
+        out = bare
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.written(spark, stage(spark, out, ""), name)
+        assert out.count() == 0
+
+
 def test_mixed_rows(docs, wide, empty, rows):
     out = mixing.mixed(wide)
     assert out.columns == wide.columns

@@ -90,6 +90,66 @@ def test_trees_learn(spark):
     assert len(held) > 50 and sum(x.predicted == (x.doc_id < 300) for x in held) / len(held) > 0.97
 
 
+def test_fit_against_brute_force():
+    """Two trees of depth 2 on a small table, each split found by trying all of them with plain sums."""
+    r = np.random.default_rng(11)
+    x = r.integers(0, 6, size=(60, 3)).astype(np.float32)
+    y = (x[:, 1] + r.normal(size=60) > 2.5).astype(float)
+    got = classifier.fit(x, y, trees=2, depth=2, bins=64, rate=0.15, penalty=2.0, least=5.0)
+    total = [math.log(y.mean() / (1 - y.mean()))] * 60
+    for t in range(2):
+        p = [1 / (1 + math.exp(-s)) for s in total]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes = {0: list(range(60))}
+        for k in range(3):
+            own = nodes.get(k, [])
+            gain = lambda of: sum(g[i] for i in of) ** 2 / (sum(h[i] for i in of) + 2.0)  # noqa: B023, E731
+            best, split = 1e-9, None
+            for f in range(3):
+                for edge in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 64)[1:-1]).astype(np.float32)):
+                    low, high = [i for i in own if x[i, f] <= edge], [i for i in own if x[i, f] > edge]
+                    if sum(h[i] for i in low) < 0.5 or sum(h[i] for i in high) < 0.5:
+                        continue
+                    more = gain(low) + gain(high) - gain(own)
+                    if more > best + 1e-12:
+                        best, split = more, (f, float(edge), low, high)
+            if split:
+                f, edge, low, high = split
+                held = x[own, got.feature[t, k]] > got.above[t, k]
+                assert sorted(i for i, up in zip(own, held, strict=True) if up) == high  # an equal gain may name another edge, not other rows
+                nodes[2 * k + 1], nodes[2 * k + 2] = low, high
+            else:
+                assert got.above[t, k] == np.inf
+                nodes[2 * k + 1], nodes[2 * k + 2] = own, []
+        for k in range(3, 7):
+            of = nodes[k]
+            value = -0.15 * sum(g[i] for i in of) / (sum(h[i] for i in of) + 2.0)
+            assert got.leaf[t, k - 3] == pytest.approx(value)
+            for i in of:
+                total[i] += value
+
+
+def test_repeated_rows_teach_once(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "MAX_TRAIN", 40)
+    seen = []
+    whole = classifier.fit
+    monkeypatch.setattr(classifier, "fit", lambda x, y, **k: (seen.append(len(y)), whole(x, y, **k))[1])
+    docs = spark.createDataFrame([(k % 50, f"text {k % 50} of words") for k in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    assert classifier.judged(docs, labels).count() == 2000
+    assert seen == [sum(crc(k) % 5 > 0 for k in range(50))] or seen == [40]
+
+
+def test_other_columns_and_long_texts(spark, docs, wide):
+    key = lambda r: (str(r.doc_id), r.score)
+    none = spark.createDataFrame([(3, 1), (6, 0)], "doc_id long, quality int")
+    assert sorted(map(key, classifier.judged(wide, none).collect())) == sorted(map(key, classifier.judged(docs, none).collect()))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in lm.scored(wide).collect()) == sorted((str(r.doc_id), round(r.score, 6)) for r in lm.scored(docs).collect())
+    long = spark.createDataFrame([(1, "many words of one text " * 150_000), (2, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in lm.scored(long).collect()} == {1: 750_001, 2: 3}
+    assert classifier.judged(long, none).count() == 2
+
+
 def test_trees_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {x.score for x in classifier.judged(docs, none).collect()} == {0.5}

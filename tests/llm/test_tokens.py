@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpuscle.llm import bpe, common, repair
+from corpuscle.llm import bpe, common, repair, words
+from tests.llm.conftest import thue_morse
 
 LIBRARY = Tokenizer.from_file(bpe.default_path())
 CODER = bpe.ForcedBoundaryBPE(bpe.default_path())
@@ -40,6 +41,29 @@ def test_encoding_equals_library_on_any_text(texts):
         assert CODER.decode(ids) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False) == t
 
 
+def test_words_without_structure_collide():
+    one, other = thue_morse()
+    assert encoded([one, other, f"{one} {other}"]) == [e.ids for e in LIBRARY.encode_batch([one, other, f"{one} {other}"], add_special_tokens=False)]
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    start = np.arange(0, 2048, 64)
+    for width in (64, 128, 512, 1024):
+        at = start[start + width <= 2048]
+        keys, spans = words.byte_spans(data, at, at + width), [data[a : a + width].tobytes() for a in at]
+        assert len(set(keys.tolist())) == len(set(spans))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=60), st.integers(0, 9))
+def test_span_hashes_do_not_depend_on_place(span, before):
+    data = np.frombuffer(b"\xff" * before + span + b"\x01\x02", np.uint8)
+    alone = np.frombuffer(span, np.uint8)
+    at = lambda x, n: words.byte_spans(x, np.array([n]), np.array([n + len(span)]))[0]
+    assert at(data, before) == at(alone, 0)
+    values = np.frombuffer(span[: len(span) // 8 * 8], np.uint64)
+    k = len(values)
+    assert words.value_spans(np.append(values[::-1], values), np.array([k]), np.array([2 * k]))[0] == words.value_spans(values, np.array([0]), np.array([k]))[0]
+
+
 def test_forced_cuts_are_between_pairs_of_no_entry():
     pieces = list(CODER.fragments_of("qzĠthe"))
     assert "".join(pieces) == "qzĠthe"
@@ -105,6 +129,11 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert repair.read_ids(spark, path).collect() == []
 
 
+def test_token_files_of_other_columns(spark, wide, rows, tmp_path):
+    repair.write_ids(wide, path := f"{tmp_path}/wide")
+    assert repair.read_ids(spark, path).count() == len(rows)
+
+
 def test_wrong_file_is_refused():
     with pytest.raises(ValueError):
         repair.Grammar(b"x" * 64)
