@@ -199,6 +199,24 @@ class Decoder:
         return np.stack(out, 1).tolist() if out else [[] for _ in prompts]
 
 
+Kept = list[tuple[np.ndarray, np.ndarray]]
+
+
+def clone_kv(held: Kept) -> Kept:
+    """Keys and values of each layer, copied."""
+    return [(k.copy(), v.copy()) for k, v in held]
+
+
+def crop_kv(held: Kept, n: int) -> Kept:
+    """Of the first n positions."""
+    return [(k[:, :, :n], v[:, :, :n]) for k, v in held]
+
+
+def kv_length(held: Kept) -> int:
+    """Positions that are kept."""
+    return held[0][0].shape[2] if held else 0
+
+
 def log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(-1, keepdims=True)
     return z - np.log(np.exp(z).sum(-1, keepdims=True))

@@ -11,7 +11,54 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators.augmented import Augmented, View
 from corpuscle.operators.merge import Trie
-from corpuscle.plans.model import Decoder, generated
+from corpuscle.plans.model import Decoder, Kept, clone_kv, crop_kv, generated, kv_length
+
+
+@dataclass
+class PrefixStore:
+    """Keys and values of sequences that were computed, for requests that begin alike."""
+
+    most: int = 64
+    least: int = 4
+    lookups: int = 0
+    hits: int = 0
+    reused: int = 0
+    computed: int = 0
+    _kept: dict[tuple[int, ...], tuple[Kept, int, int]] = field(default_factory=dict)
+    _next: int = 0
+
+    def lookup(self, ids: list[int]) -> Kept:
+        """A copy of what is kept of the deepest stored sequence that begins ids, or nothing."""
+        self.lookups += 1
+        for n in sorted({n for k in self._kept if self.least <= (n := len(k)) <= len(ids)}, reverse=True):
+            if (key := tuple(ids[:n])) in self._kept:
+                kept, hits, order = self._kept[key]
+                self._kept[key] = kept, hits + 1, order
+                self.hits, self.reused, self.computed = self.hits + 1, self.reused + n, self.computed + len(ids) - n
+                return clone_kv(crop_kv(kept, n))
+        self.computed += len(ids)
+        return []
+
+    def insert(self, ids: list[int], held: Kept) -> None:
+        """A sequence that is long enough and new; beyond `most` the one with the fewest hits goes, the oldest first."""
+        if len(ids) < self.least or tuple(ids) in self._kept:
+            return
+        self._kept[tuple(ids)] = clone_kv(held), 0, self._next
+        self._next += 1
+        while len(self._kept) > self.most:
+            del self._kept[min(self._kept, key=lambda k: self._kept[k][1:])]
+
+    def clear(self) -> None:
+        """Drops the entries and keeps the counts."""
+        self._kept.clear()
+
+    @property
+    def hit_rate(self) -> float:
+        return self.hits / max(1, self.lookups)
+
+    @property
+    def reuse_rate(self) -> float:
+        return self.reused / max(1, self.reused + self.computed)
 
 
 @dataclass
@@ -65,8 +112,21 @@ class Router:
         """Of the next token, minus infinity where the view may not emit."""
         return self.model.forward(self.model.rows(ids or [0])[None])[0][0, -1] + self.mask(name)
 
-    def generate(self, text: str, name: str, steps: int) -> list[int]:
-        return self.batch_generate([(text, name)], steps)[0]
+    def generate(self, text: str, name: str, steps: int, store: PrefixStore | None = None) -> list[int]:
+        """Greedy continuation. With a store, what it keeps of the longest stored prefix is not computed again, and the request is stored, whatever its view."""
+        if store is None:
+            return self.batch_generate([(text, name)], steps)[0]
+        ids, may, out = self.ids(text, name) or [0], np.isfinite(self.mask(name)), []
+        held = store.lookup(ids[:-1])
+        new = ids[kv_length(held) :]
+        seq = list(ids)
+        for _ in range(steps):
+            mask = np.ones((1, len(seq)), bool)
+            out.append(int(np.where(may, self.model.ahead(self.model.rows(new)[None], mask, held)[0], -np.inf).argmax()))
+            new = out[-1:]
+            seq += new
+        store.insert(ids, crop_kv(held, len(ids)))
+        return out
 
     def batch_generate(self, requests: list[tuple[str, str]], steps: int) -> list[list[int]]:
         """Greedy continuations, views mixed; a request's answer is that of the request alone."""
