@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":  # texts are long; a batch of Spark's own size would hold tens of megabytes, several times over
-        spark.conf.set(rows, "1500")
+    """Gives the executors this package, once for each application, and bounds Arrow batches by bytes where the session has Spark's own bound."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == "67108864b":  # a worker holds a batch several times over
+        spark.conf.set(size, "6m")
     tables.ship(spark)
 
 

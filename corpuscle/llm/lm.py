@@ -208,7 +208,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     spark = texts.sparkSession
     common.ship(spark)
     rows = texts.select(F.col(text).cast("string"))
-    bits = common.bucket_bits(rows, 4 << 20)
+    bits = common.bucket_bits(rows, 4 << 20, most=20)
     uri = common.scratch_path(spark, "lm")
     bigrams, large, types = count_bigrams(rows, bits, uri)
     facts = common.written(spark, word_facts(rows, bigrams, large), "words")

@@ -8,7 +8,8 @@ in training time; its integral, scaled to the target, is the source's cumulative
 inverse of the demand gives the time at which a document's first word is due. Time turns into a
 training position by the demand of all sources together, and documents are range-sorted by it.
 
-Prefix sums run over parts of a source, so a source of any size is many tasks.
+Prefix sums run over parts of a source, ranges of the order, so a source of any size is many tasks;
+there are more parts the larger the table is, and the order does not depend on their number.
 
 Defined results: a null text has size 0 and takes 0 words, and so has a source, or a table, whose
 texts hold no words: its target is 0; a null source is the last source; null ids are dealt over the
@@ -27,7 +28,9 @@ from corpuscle.llm import common
 WEIGHTS = (5, 2, 1)
 #: Weight at the start and at the end of training, for each weight in turn: up, level, down.
 SCHEDULES = ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5))
-SHARE, MOST, PARTS = 1.5, 2, 256
+SHARE, MOST = 1.5, 2
+#: Bytes of the table that a part of all sources together stands for.
+PART_BYTES = 32 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -75,8 +78,9 @@ def laid_out(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", source: s
     wide: `keep` has large columns; sizes are then counted twice instead of writing those columns.
     """
     spark = docs.sparkSession
+    bits = common.bucket_bits(docs, PART_BYTES, least=8, most=20)
     order = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))), F.lit(8))
-    rows = docs.select(*keep, F.col(source).alias("_source"), F.col(doc_id).alias("_id"), word_count(F.col(text)).alias("_size"), order.alias("_order")).withColumn("_part", F.pmod("_order", F.lit(PARTS)).cast("int"))
+    rows = docs.select(*keep, F.col(source).alias("_source"), F.col(doc_id).alias("_id"), word_count(F.col(text)).alias("_size"), order.alias("_order")).withColumn("_part", F.shiftright("_order", 64 - bits).cast("int"))
     narrow = common.written(spark, rows.select("_source", "_part", "_size") if wide else rows, "sizes")
     parts = common.written(spark, narrow.groupBy("_source", "_part").agg(F.sum("_size").alias("part_size")), "parts")
     goals = targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("part_size").alias("source_size")))
