@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from corpuscle import catalog
+from corpuscle import catalog, catalog_views
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +21,21 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def mined_once():
+    """Candidates are mined once for all tests, as a table."""
+    mine, known = catalog._candidates, {}
+
+    def candidates(spark, sf_dir, longest=catalog.LONGEST):
+        if longest not in known:
+            known[longest] = catalog.written(mine(spark, sf_dir, longest), "candidates")
+        return known[longest]
+
+    catalog._candidates = catalog_views._candidates = candidates
+    yield
+    catalog._candidates = catalog_views._candidates = mine
+
+
 def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
