@@ -15,6 +15,7 @@ equal rows follow each other; the only document is its own next; an empty table
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def _probe_order(bin_no: int) -> list[int]:
     return sorted(range(BINS), key=lambda k: hashlib.blake2b(f"{bin_no}:{k}".encode(), digest_size=8).digest())
 
 
+def _literal(values: list, kind: str) -> Column:
+    """A constant that the optimizer folds; thousands of literals would each be a call into the JVM."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     """Adds `to`: an array of one small number for each bin, empty for a text without words."""
     w, h, s, m, d = (f"_{to}_{x}" for x in "whsmd")
@@ -46,8 +52,8 @@ def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     led = F.flatten(F.transform(m, lambda x, i: F.concat(none(bin_of(x) - F.when(i == 0, 0).otherwise(bin_of(F.get(m, i - 1)) + 1)), F.array(low(x)))))
     dense = F.when(F.size(m) == BINS, F.transform(m, low)).when(F.size(m) > 0, F.concat(led, none(BINS - 1 - bin_of(F.get(m, F.size(m) - 1))))).otherwise(F.array().cast("array<int>"))
     orders = [_probe_order(b) for b in range(BINS)]
-    attempts = [F.array(*[F.lit(o[t]) for o in orders]) for t in range(PROBES)]
-    every = F.array(*[F.array(*[F.lit(k) for k in o]) for o in orders])
+    attempts = [_literal([o[t] for o in orders], "array<int>") for t in range(PROBES)]
+    every = _literal(orders, "array<array<int>>")
     first_full = lambda i: F.get(d, F.get(F.filter(F.get(every, i), lambda k: F.get(d, k).isNotNull()), F.lit(0)))
     # coalesce stops at the first full bin
     filled = F.when((F.size(d) == 0) | ~F.exists(d, lambda x: x.isNull()), F.col(d)).otherwise(F.transform(F.col(d), lambda x, i: F.coalesce(x, *[F.get(d, F.get(a, i)) for a in attempts], first_full(i))))
