@@ -475,12 +475,12 @@ def coverage_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _covered(spark, sf_dir).select("event_type", "bound", F.round("fraction", 6).alias("fraction"), "n", F.round("upper_ci", 6).alias("upper_ci"), "violated")
 
 
-@query(f"""WITH {COVERED}, s AS (SELECT count(*) AS n, count(*) FILTER (upper_ci < {1 - ALPHA}) AS v, avg(fraction) AS mc FROM u)
-SELECT n AS n_checked, v AS n_violated, v / greatest(1, n) AS violation_rate, round({DELTA} + 2.326 * sqrt(greatest({DELTA} * (1 - {DELTA}), 1e-6) / greatest(1, n)) + 1.0 / greatest(1, n), 6) AS allowance, round(mc, 6) AS mean_coverage,
+@query(f"""WITH {COVERED}, s AS (SELECT count(*) AS n, count(*) FILTER (upper_ci < {1 - ALPHA}) AS v, avg(fraction) AS mc, avg(CAST({1 - ALPHA} AS DOUBLE)) AS mt FROM u)
+SELECT n AS n_checked, v AS n_violated, v / greatest(1, n) AS violation_rate, round({DELTA} + 2.326 * sqrt(greatest({DELTA} * (1 - {DELTA}), 1e-6) / greatest(1, n)) + 1.0 / greatest(1, n), 6) AS allowance, round(mc, 6) AS mean_coverage, round(mt, 6) AS mean_target,
   v / greatest(1, n) <= {DELTA} + 2.326 * sqrt(greatest({DELTA} * (1 - {DELTA}), 1e-6) / greatest(1, n)) + 1.0 / greatest(1, n) AS ok FROM s""")
 def verification_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = bounds.verdict(_covered(spark, sf_dir))
-    return v.select("n_checked", "n_violated", "violation_rate", F.round("allowance", 6).alias("allowance"), F.round("mean_coverage", 6).alias("mean_coverage"), "ok")
+    return v.select("n_checked", "n_violated", "violation_rate", F.round("allowance", 6).alias("allowance"), F.round("mean_coverage", 6).alias("mean_coverage"), F.round("mean_target", 6).alias("mean_target"), "ok")
 
 
 @query(f"WITH {VECTORS}, {_conformal_sql('d', 'label', 'kl')} SELECT label, n, round(bound, 6) AS bound FROM bnd ORDER BY bound DESC, label LIMIT 10")

@@ -330,6 +330,34 @@ def effective_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(pivot)).select("lang", "total_tokens", "pack_tokens", ratio.alias("cost_ratio"), (F.col("pack_tokens") / F.col("p")).alias("pack_ratio"), F.when(F.col("total_tokens") > 0, 1 / ratio).alias("effective_context"))  # one row
 
 
+@query("""SELECT user_id, arg_min(event_id, event_id) AS first_event, arg_max(event_id, event_id) AS last_event, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id""")
+def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events deduplicated by user, the first kept and the last kept."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    first = corpus.first_of_each(e, "user_id", "event_id").select("user_id", F.col("event_id").alias("first_event"), F.col("event_type").alias("first_type"))
+    last = corpus.last_of_each(e, "user_id", "event_id").select("user_id", F.col("event_id").alias("last_event"), F.col("event_type").alias("last_type"))
+    return first.join(last, "user_id")
+
+
+@query(f"""WITH {LINES}, b AS (SELECT lang, hex(encode(text)) AS h, unnest(range(0, strlen(text))) AS i FROM lines), s AS (SELECT lang, list(DISTINCT substr(h, CAST(2 * i + 1 AS INT), 2)) AS ids FROM b GROUP BY lang), p AS (SELECT ids AS en FROM s WHERE lang = 'en')
+SELECT lang, CAST(len(ids) AS INT) AS n_ids, CAST(len(list_distinct(list_concat(ids, en))) AS INT) AS n_union, CAST(len(list_filter(ids, lambda x: NOT list_contains(en, x))) AS INT) AS n_beyond, CAST(len(list_intersect(ids, en)) AS INT) AS n_shared FROM s, p""")
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ids that each language uses: with English together, beyond English, shared with it."""
+    s = mining.runs(_lines(spark, sf_dir), 1).groupBy("lang").agg(F.collect_set(F.hex("gram")).alias("ids"))  # 256 at most
+    pivot = s.filter("lang = 'en'").select(F.col("ids").alias("en"))
+    return s.crossJoin(F.broadcast(pivot)).select("lang", F.size("ids").alias("n_ids"), F.size(F.array_union("ids", "en")).alias("n_union"), F.size(F.array_except("ids", "en")).alias("n_beyond"), F.size(F.array_intersect("ids", "en")).alias("n_shared"))  # one row
+
+
+@query(f"""WITH {LINES}, s AS (SELECT lang, CAST(sum(strlen(text)) AS DOUBLE) AS t, CAST(sum({MERGED}) AS DOUBLE) AS m FROM lines GROUP BY lang)
+SELECT lang, round(2 * 1e6 * t) AS build_flops, round(6 * 1e6 * t) AS training_flops, round(1 - m / t, 6) AS reduction, round(40 + 40 * greatest(0.0, log10(6e6 * t) - 8), 6) AS bubble, t < 1e5 AS extrapolated FROM s""")
+def figure_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the figure of cost against reduction, one for each language."""
+    body = F.encode("text", "utf-8")
+    s = _lines(spark, sf_dir).groupBy("lang").agg(F.sum(byte_count(F.col("text"))).cast("double").alias("t"), F.sum(merge.merged_size(body, MERGES)).cast("double").alias("m"))
+    n, t = F.lit(1e6), F.col("t")
+    return s.select("lang", F.round(serving.forward_flops(n, t)).alias("build_flops"), F.round(serving.training_flops(n, t)).alias("training_flops"), F.round(1 - F.col("m") / t, 6).alias("reduction"), F.round(evaluation.bubble(6 * n * t), 6).alias("bubble"), (t < 1e5).alias("extrapolated"))
+
+
 # --- packs --------------------------------------------------------------------------------------
 
 ENTRIES = """en AS (SELECT substr(o_orderstatus, 1, 1) AS lang, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)::INT AS rank, hex(encode(o_orderkey::VARCHAR)) AS gram_hex, o_custkey AS n_occurrences, o_totalprice > 60000 AS accepted, o_totalprice AS kl FROM orders WHERE o_orderkey % 5 = 0)"""

@@ -81,6 +81,16 @@ def mean_bounds(rows: DataFrame, key: str, value: str, delta: float = 0.05, top:
     return s.select(key, "n", "mean", bernstein.alias("bernstein"), hoeffding.alias("hoeffding"))
 
 
+def value_of(bounds: Column, statistic: str) -> Column:
+    """A bound out of a map of them; one that is not there is an error."""
+    return F.when(F.map_contains_key(bounds, statistic), F.try_element_at(bounds, F.lit(statistic))).otherwise(F.raise_error(F.lit(f"no bound of {statistic}")))
+
+
+def holds(measured: Column, bound: Column) -> Column:
+    """Whether a measurement is within a bound, but for rounding."""
+    return measured <= bound + 1e-9
+
+
 #: Code of each ground on which a token is refused; the first that holds counts.
 REASONS = ("too_few_measurements", "no_kl_bound", "kl_above", "tv_above", "offcontext_above", "no_emission_bound", "emission_above")
 

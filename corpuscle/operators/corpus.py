@@ -79,6 +79,20 @@ def clean_bitext(pairs: DataFrame, least: int = 10, tolerance: float = 3.0) -> D
     return rated.join(middle, "lang").filter((F.col("n_pairs") < 8) | F.col("ratio").between(median / tolerance, median * tolerance)).select("lang", "line_no", "text", "pivot_text", "ratio")
 
 
+def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key in the order; of rows with equal order one stays, the least."""
+    whole = F.struct(F.col(order).alias("_order"), *[c for c in rows.columns if c != order])
+    kept = rows.groupBy(F.col(key).alias("_key")).agg(F.min(whole).alias("_row"))
+    return kept.select(*[F.col("_row._order" if c == order else f"_row.`{c}`").alias(c) for c in rows.columns])
+
+
+def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key in the order, as in a map that is filled row by row."""
+    whole = F.struct(F.col(order).alias("_order"), *[c for c in rows.columns if c != order])
+    kept = rows.groupBy(F.col(key).alias("_key")).agg(F.max(whole).alias("_row"))
+    return kept.select(*[F.col("_row._order" if c == order else f"_row.`{c}`").alias(c) for c in rows.columns])
+
+
 def expanded(sample: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """A fixture corpus: ordered pairs of different sentences of a small sample (lang, i, text), in an order by hash, the first n of each language."""
     a, b = sample.alias("a"), sample.alias("b")

@@ -66,6 +66,11 @@ def materialized(candidates: DataFrame) -> DataFrame:
     return surface.filter(~F.col("surface").rlike("[\n\r\t]") & (count_alnum(F.col("surface")) >= 1))
 
 
+def key(ids: Column) -> Column:
+    """A candidate's key: its ids with hyphens between."""
+    return F.array_join(ids, "-")
+
+
 def raw_saving(n: Column, length: Column) -> Column:
     return n * (length - 1)
 

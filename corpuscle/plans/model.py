@@ -50,6 +50,23 @@ class Decoder:
         """No logit changes by more than this times the change of the hidden state."""
         return float(np.linalg.norm(self.unembed, axis=1).max())
 
+    def save(self, path: str) -> None:
+        """Weights and shape as one file of arrays."""
+        blocks = {f"{k}.{name}": w for k, b in enumerate(self.blocks) for name, w in b.items()}
+        np.savez(path, embed=self.embed, unembed=self.unembed, tied=self.tied, shape=[getattr(self.shape, k) for k in ("vocab", "d", "layers", "heads", "d_ff")], base=self.shape.base, **blocks)
+
+    @staticmethod
+    def load(path: str) -> "Decoder":
+        """A model of the weights in a file that save() wrote."""
+        with np.load(path) as f:
+            shape = Shape(*map(int, f["shape"]), float(f["base"]))
+            model = object.__new__(Decoder)
+            model.shape, model.tied, model.forward_tokens = shape, bool(f["tied"]), 0
+            model.embed = f["embed"]
+            model.unembed = model.embed if model.tied else f["unembed"]
+            model.blocks = [{name: f[f"{k}.{name}"] for name in ("q", "k", "v", "o", "gate", "up", "down")} for k in range(shape.layers)]
+        return model
+
     def reset_cost(self) -> None:
         self.forward_tokens = 0
 

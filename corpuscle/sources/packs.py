@@ -9,10 +9,11 @@ FORMAT = "corpuscle-pack/1"
 ENTRY = "lang string, rank int, gram_hex string, n_occurrences long, accepted boolean, bounds map<string, double>"
 
 
-def write_pack(entries: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
-    """Entries as Parquet and a manifest of one JSON row beside them."""
-    spark = entries.sparkSession
+def write_pack(entries: DataFrame, path: str, meta: dict[str, str] | None = None, vectors: DataFrame | None = None) -> None:
+    """Entries as Parquet and a manifest of one JSON row beside them; vectors: token, row, out_row of the entries."""
     entries.write.mode("overwrite").parquet(f"{path}/entries")
+    if vectors is not None:
+        vectors.select("token", "row", "out_row").write.mode("overwrite").parquet(f"{path}/vectors")
     facts = entries.agg(F.count("*").alias("n_entries"), F.count_if(F.col("accepted")).alias("n_accepted"))
     items = [x for k, v in (meta or {}).items() for x in (F.lit(k), F.lit(v))]
     facts.select(F.lit(FORMAT).alias("format"), "*", (F.create_map(*items) if items else F.create_map().cast("map<string,string>")).alias("meta")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
@@ -27,6 +28,11 @@ def read_pack(spark: SparkSession, path: str, require_accepted: bool = True) ->
     return entries.filter("accepted") if require_accepted else entries
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """token, row, out_row of a pack that was written with them."""
+    return spark.read.parquet(f"{path}/vectors")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A text corpus, a sentence a line, without blank lines."""
     return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("text"))

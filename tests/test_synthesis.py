@@ -251,3 +251,36 @@ def test_packs_cards_and_checkpoints(spark, tmp_path):
     assert made.gram_hex == "7468" and made.bounds["kl"] == float("inf")
     report = evaluation.throughput(spark.createDataFrame([("base", 3, 2, 0.1, 0.1, 1.0)], "view string, prompt_tokens long, made_tokens long, tokenize_seconds double, mask_seconds double, wall_seconds double"), ["view"])
     assert "| base |" in cards.serving_table(report)
+
+
+def test_saved_models_and_vectors(spark, tmp_path):
+    for model in (MODEL, Decoder(Shape(vocab=30, d=8, heads=2), tied=True)):
+        model.save(path := f"{tmp_path}/model.npz")
+        back = Decoder.load(path)
+        x = model.rows([1, 2, 3])[None]
+        assert np.array_equal(back.forward(x)[0], model.forward(x)[0]) and (back.tied, back.shape) == (model.tied, model.shape)
+    entries = spark.createDataFrame([("en", 1, "7468", 9, True, {"kl": 0.1})], packs.ENTRY)
+    vectors = spark.createDataFrame([("7468", [0.5], [0.25])], "token string, row array<double>, out_row array<double>")
+    packs.write_pack(entries, f"{tmp_path}/p", vectors=vectors)
+    assert packs.read_vectors(spark, f"{tmp_path}/p").first().row == [0.5]
+
+
+def test_small_operators(spark):
+    from corpuscle.operators import corpus, mining
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, at int, v string")
+    assert sorted(r.v for r in corpus.first_of_each(rows, "k", "at").collect()) == ["x", "z"]
+    assert sorted(r.v for r in corpus.last_of_each(rows, "k", "at").collect()) == ["y", "z"]
+    one = spark.createDataFrame([([5, 0, 7], {"kl": 0.5})], "ids array<int>, bounds map<string,double>")
+    got = one.select(mining.key(F.col("ids")).alias("key"), bounds.value_of(F.col("bounds"), "kl").alias("v"), bounds.holds(F.lit(0.5), F.lit(0.5)).alias("h")).first()
+    assert (got.key, got.v, got.h) == ("5-0-7", 0.5, True)
+    with pytest.raises(Exception, match="no bound of tv"):
+        one.select(bounds.value_of(F.col("bounds"), "tv")).collect()
+
+
+def test_lazy_names():
+    import corpuscle
+
+    assert corpuscle.Decoder is Decoder and "load" in corpuscle.__all__
+    with pytest.raises(AttributeError):
+        corpuscle.nothing
