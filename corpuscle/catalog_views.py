@@ -358,6 +358,25 @@ def figure_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("lang", F.round(serving.forward_flops(n, t)).alias("build_flops"), F.round(serving.training_flops(n, t)).alias("training_flops"), F.round(1 - F.col("m") / t, 6).alias("reduction"), F.round(evaluation.bubble(6 * n * t), 6).alias("bubble"), (t < 1e5).alias("extrapolated"))
 
 
+#: An order of vectors that both engines can compute, spread over 64 bits.
+SPREAD = "(vec_id * 2654435761) % 4294967296"
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), v AS (SELECT a.vec_id, a.label, a.z AS source, b.z AS target FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+o AS (SELECT *, row_number() OVER (ORDER BY {SPREAD}, vec_id) - 1 AS place, count(*) OVER () AS n FROM v),
+c AS (SELECT a.vec_id, a.label, k, round(list_dot_product(a.source, b.target) / greatest(sqrt(list_dot_product(a.source, a.source)) * sqrt(list_dot_product(b.target, b.target)), 1e-12), 9) AS s FROM o a CROSS JOIN range(0, 13) r(k) JOIN o b ON b.place = (a.place + k) % a.n),
+t AS (SELECT vec_id, label, k, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) AS r FROM c)
+SELECT label, count(*) AS n, avg(CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END) AS accuracy FROM t WHERE r = 1 GROUP BY label""")
+def retrieval_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a vector is more like its partner, the next one, than like twelve sampled others."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("source"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("source").alias("target"))
+    order = F.shiftleft(F.expr(SPREAD) - F.lit(1 << 31), 32)
+    v = e.join(after, "vec_id").select(F.col("vec_id").alias("key"), "label", "source", "target", order.alias("_order"))
+    hits = evaluation.retrieval(v.drop("label"), 12, order=F.col("_order"))
+    return hits.join(v.select("key", "label"), "key").groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+
+
 # --- packs --------------------------------------------------------------------------------------
 
 ENTRIES = """en AS (SELECT substr(o_orderstatus, 1, 1) AS lang, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)::INT AS rank, hex(encode(o_orderkey::VARCHAR)) AS gram_hex, o_custkey AS n_occurrences, o_totalprice > 60000 AS accepted, o_totalprice AS kl FROM orders WHERE o_orderkey % 5 = 0)"""

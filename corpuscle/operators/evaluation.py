@@ -44,15 +44,16 @@ def against_baseline(scores: DataFrame, by: list[str], baseline: str, condition:
     )
 
 
-def retrieval(vectors: DataFrame, candidates: int, seed: int = 0) -> DataFrame:
+def retrieval(vectors: DataFrame, candidates: int, seed: int = 0, order: Column | None = None) -> DataFrame:
     """vectors: key, source (array), target (array). key, hit: whether a source is most like its own target among `candidates` sampled ones.
 
-    The sample of each source is the targets whose keys follow it in an order by hash, so each is
-    an equi-join on a place in that order and no pair beside the sampled ones is made.
+    The sample of each source is the targets whose keys follow it in an order by hash (or by `order`,
+    spread over 64 bits), so each is an equi-join on a place in that order and no pair beside the
+    sampled ones is made.
     """
     from corpuscle.functions.drift import dot, norm
 
-    spread = vectors.withColumn("_h", F.xxhash64("key", F.lit(seed)))
+    spread = vectors.withColumn("_h", F.xxhash64("key", F.lit(seed)) if order is None else order)
     n = vectors.count()
     # places in ranges of the hash, so that no task orders them all
     parts = spread.withColumn("_part", F.shiftright("_h", 54)).select("key", "_h", "_part")
