@@ -34,6 +34,8 @@ _BIGRAM = np.uint64(0x9FB21C651E98DF25)
 #: Bigrams that a task counts together.
 BATCH = 1_500_000
 BIG = 255
+#: Of the tasks that sum, 2 ** so many at most: a shuffle has a place for each task and each task before it.
+MOST_TASK_BITS = 15
 
 
 def held_out(doc_id: Column, parts: int = 10) -> Column:
@@ -151,20 +153,32 @@ def count_bigrams(train: DataFrame, bits: int, uri: str) -> tuple[hash_table.Has
         if held:
             yield out()
 
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        parts = [unpacked(k.as_py(), c.as_py()) for k, c in zip(t["ids"], t["counts"], strict=True)]
+    def add(bucket: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, (counts,) = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         counts = counts.astype(np.int64)
         name, many = f"{bucket + (1 << (bits - 1)):06d}", counts >= BIG
         hash_table.put(f"{uri}/bigrams/{name}", [keys, np.minimum(counts, BIG).astype("u1")])
         if many.any():
             hash_table.put(f"{uri}/large/{name}", [keys[many], counts[many]])
-        return pa.table({"first": [bucket << (64 - bits)], "n": [len(keys)], "n_large": [int(many.sum())], "name": [name], **{f"n{k}": [int((counts == k).sum())] for k in (1, 2, 3, 4)}})
+        return pa.RecordBatch.from_pydict({"first": [bucket << (64 - bits)], "n": [len(keys)], "n_large": [int(many.sum())], "name": [name], **{f"n{k}": [int((counts == k).sum())] for k in (1, 2, 3, 4)}})
 
-    # so many tasks that each sums some ranges, however large the corpus
-    n = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << max(0, bits - 2))
-    made = train.mapInArrow(common.released(count), "bucket long, ids binary, counts binary").repartition(n, "bucket").groupBy("bucket").applyInArrow(add, "first long, n long, n_large long, name string, n1 long, n2 long, n3 long, n4 long").collect()  # a row for each of 2 ** bits ranges
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, ids, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if bucket != now and parts:
+                    yield add(now, parts)
+                    parts = []
+                now = bucket
+                parts.append(unpacked(ids.as_py(), counts.as_py()))
+        if parts:
+            yield add(now, parts)
+
+    # a task for each range, or for several ranges that follow each other, which it sums one after another
+    wide = min(bits, MOST_TASK_BITS)
+    task = (F.shiftright("bucket", bits - wide) + (1 << (wide - 1))).cast("int")
+    dealt = train.mapInArrow(common.released(count), "bucket long, ids binary, counts binary").repartitionById(1 << wide, task).sortWithinPartitions("bucket")
+    made = dealt.mapInArrow(common.released(summed), "first long, n long, n_large long, name string, n1 long, n2 long, n3 long, n4 long").collect()  # a row for each of 2 ** bits ranges
     table = lambda kind, n, which: hash_table.HashTable([kind], sorted((r["first"], r[n], f"{uri}/{which}/{r['name']}") for r in made if r[n]))
     return table("u1", "n", "bigrams"), table("i8", "n_large", "large"), tuple(sum(r[f"n{k}"] for r in made) for k in (1, 2, 3, 4))
 
