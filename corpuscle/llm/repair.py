@@ -35,11 +35,11 @@ FILE_SCHEMA = "shard int, block int, shard_start long, n_tokens long, doc_ids ar
 
 
 def _taken(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The pairs of a round, in descending count (ties: ascending pair)."""
+    """Which pairs a round takes, in descending count (ties: ascending pair)."""
     role: dict[int, int] = {}  # 1: left part, 2: right part, 3: both parts of one pair
     out = []
     order = np.lexsort((keys, -counts))
-    for key in keys[order].tolist():
+    for k, key in zip(order.tolist(), keys[order].tolist(), strict=True):
         a, b = key >> 32, key & 0xFFFFFFFF
         if a == b:
             if a in role:
@@ -49,35 +49,65 @@ def _taken(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
             if role.get(a, 1) != 1 or role.get(b, 2) != 2:
                 continue
             role[a], role[b] = 1, 2
-        out.append(key)
-    return np.array(out, np.uint64)
+        out.append(k)
+    return np.array(out, np.int64)
+
+
+def _alike(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places `at` in the order of the pairs that begin there, where in it each distinct pair is first, and the distinct pairs."""
+    bits, low = int(seq.max()).bit_length(), len(seq).bit_length()
+    pairs = seq[at].astype(np.uint64)
+    if 2 * bits + low <= 64:  # pair and place in one number
+        for shift, part in ((bits, seq[at + 1]), (low, at.view(np.uint64))):
+            pairs <<= np.uint64(shift)
+            pairs |= part
+        pairs.sort()
+        places = (pairs & np.uint64((1 << low) - 1)).view(np.int64)
+        pairs >>= np.uint64(low)
+    else:
+        bits = 32
+        pairs = pairs << np.uint64(32) | seq[at + 1]
+        by = np.argsort(pairs)
+        places, pairs = at[by], pairs[by]
+    new = np.ones(len(at), bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+    pairs = pairs[new]
+    return places, new, (pairs >> np.uint64(bits)) << np.uint64(32) | pairs & np.uint64((1 << bits) - 1)
 
 
 def compress(ids: np.ndarray, first_free: int, rounds: int | None = None, share: float = 2e-5, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Remaining sequence, rules (left, right), expansion lengths; rule k is symbol first_free + k.
 
     Without `rounds`, until no pair of the sequence left stands `least` times and in `share` of it.
+
+    Each place bears the number of the pair that begins there (0: one that stands less than
+    `least` times). A round only makes pairs with its new symbols, and all places of those; so
+    pairs are sorted once, at the places that a round has changed, and other counts only sink.
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     free = first_free
+    number = np.zeros(len(seq), np.int32)
+    pairs, counts = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    changed = np.arange(len(seq) - 1)
     while len(seq) > 1 and (rounds is None or len(rules) < rounds):
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(starts, append=len(ordered))
-        many = counts >= max(least, int(share * len(seq)))
-        chosen = _taken(ordered[starts[many]], counts[many])
+        if len(changed):
+            places, new, found = _alike(seq, changed)
+            size = np.diff(np.flatnonzero(new), append=len(new))
+            often = size >= least
+            numbers = np.zeros(len(size) + 1, np.int32)
+            numbers[1:][often] = np.arange(len(pairs), len(pairs) + np.count_nonzero(often))
+            number[places] = numbers[np.cumsum(new, dtype=np.int32)]
+            pairs, counts = np.append(pairs, found[often]), np.append(counts, size[often])
+        many = np.flatnonzero(counts >= max(1, least, int(share * len(seq))))
+        chosen = many[_taken(pairs[many], counts[many])]
         if not len(chosen):
             break
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        is_left, is_right = np.zeros(free, bool), np.zeros(free, bool)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        by = np.argsort(chosen)
-        place = np.minimum(np.searchsorted(chosen[by], pairs[at]), len(by) - 1)
-        hit = chosen[by[place]] == pairs[at]
-        at, name = at[hit], (free + by[place[hit]]).astype(np.uint32)
+        name = np.zeros(len(pairs), np.uint32)
+        name[chosen] = np.arange(free, free + len(chosen))
+        at = np.flatnonzero((name > 0)[number])
+        rules.append(np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        free += len(chosen)
         same = seq[at] == seq[at + 1]
         if same.any():  # in a run of one symbol, every second position, counted from the run's start
             runs = at[same]
@@ -85,14 +115,17 @@ def compress(ids: np.ndarray, first_free: int, rounds: int | None = None, share:
             begin = runs[np.maximum.accumulate(np.where(starts, np.arange(len(runs)), 0))]
             use = np.ones(len(at), bool)
             use[same] = (runs - begin) % 2 == 0
-            at, name = at[use], name[use]
-        seq = seq.copy()
-        seq[at] = name
+            at = at[use]
+        seq[at] = name[number[at]]
+        # the pairs replaced, and those with their neighbours, each place once
+        gone = np.concatenate((at[np.diff(at, prepend=at[0] - 3 * (at[0] > 0)) > 2] - 1, at, at + 1))
+        counts -= np.bincount(number[gone], minlength=len(counts))
+        counts[0] = number[gone] = 0
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(np.stack([left, right], 1))
-        free += len(chosen)
+        seq, number = seq[keep], number[keep]
+        at -= np.arange(len(at))
+        changed = np.concatenate((at[np.diff(at, prepend=at[0] - 2 * (at[0] > 0)) > 1] - 1, at[at < len(seq) - 1]))
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, made, lengths(made, first_free)
 

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,36 @@ def test_encoding_equals_library_on_any_text(texts):
         assert CODER.decode(ids) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False) == t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aeéÑſ×\n '&$-_(1.日") | st.text("aeinorstEéÑœ \n"), min_size=1, max_size=4))
+def test_cuts_at_marks_and_line_feeds_equal_library(texts):
+    assert encoded(texts) == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_fragments_are_merged_together(monkeypatch):
+    coder = bpe.ForcedBoundaryBPE(bpe.default_path())
+    texts = [f"{w}\n{w} {w}&&& {w}é {w}" for w in ("hestionle", "Ouelyering", "a", "in" * 20, "noñé", "e" * 47)]
+    want = [e.ids for e in LIBRARY.encode_batch([*texts, "x" * 99], add_special_tokens=False)]
+    asked = []
+    monkeypatch.setattr(coder, "tokenize", lambda x: asked.append(x) or coder.library.model.tokenize(x))
+
+    def made(texts):
+        data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+        ids, counts = coder.encode_run(data, ends)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    assert made(texts) == want[:-1]
+    assert {x.strip("&") for x in asked} <= {"", "Ċ"}  # marks and line feeds alone; one call a word before
+    assert made([*texts, "x" * 99]) == want and "x" * 99 in asked  # over the bound
+    monkeypatch.setattr(bpe, "MERGED_AT_ONCE", 3)
+    coder.pieces = bpe._Pieces()
+    assert made([*texts, "x" * 99]) == want
+    assert not bpe._Merges({"vocab": {"a": 0, "##b": 1, "ab": 2}, "merges": ["a ##b"], "continuing_subword_prefix": "##"}, bpe.byte_alphabet()).whole
+    monkeypatch.setattr(coder.merges, "whole", False)  # a model with other rules
+    coder.pieces = bpe._Pieces()
+    assert made([*texts, "x" * 99]) == want
+
+
 def test_words_without_structure_collide():
     one, other = thue_morse()
     assert encoded([one, other, f"{one} {other}"]) == [e.ids for e in LIBRARY.encode_batch([one, other, f"{one} {other}"], add_special_tokens=False)]
@@ -112,6 +143,45 @@ def test_grammar_leaves_no_frequent_pair():
     assert (repair.Grammar(repair.pack(ids, 3000)).all() == ids).all()
 
 
+def recounted(ids, free, least, share):
+    """Rounds that count all pairs of the sequence anew."""
+    seq, rules = ids.tolist(), []
+    while True:
+        counts, role = Counter(zip(seq, seq[1:], strict=False)), {}
+        names = {}
+        for (a, b), n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            if n >= max(least, int(share * len(seq))) and (a not in role if a == b else role.get(a, 1) == 1 and role.get(b, 2) == 2):
+                role |= {a: 3} if a == b else {a: 1, b: 2}
+                names[a, b] = free + len(names)
+        if not names:
+            return seq, rules
+        out, k = [], 0
+        while k < len(seq):
+            pair = tuple(seq[k : k + 2])
+            out.append(names.get(pair, seq[k]))
+            k += 2 if pair in names else 1
+        seq, free = out, free + len(names)
+        rules += [list(p) for p in names]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=300), st.integers(2, 8), st.sampled_from([0, 0.03]), st.sampled_from([0, 1 << 31]))
+def test_rounds_equal_recounting(ids, least, share, shift):
+    ids = (np.array(ids) + shift).astype(np.uint32)
+    seq, rules, _ = repair.compress(ids, 6 + shift, least=least, share=share)
+    assert (seq.tolist(), rules.tolist()) == recounted(ids, 6 + shift, least, share)
+
+
+def test_rounds_sort_only_what_they_changed(monkeypatch):
+    r = np.random.default_rng(5)
+    ids = np.concatenate((r.zipf(1.3, 60_000) % 3000, np.tile(r.integers(0, 3000, 64), 30))).astype(np.uint32)
+    met, alike = [], repair._alike
+    monkeypatch.setattr(repair, "_alike", lambda seq, at: met.append(len(at)) or alike(seq, at))
+    seq, rules, _ = repair.compress(ids, 3000)
+    assert len(met) > 8 and met[0] == len(ids) - 1
+    assert sum(met[1:]) <= 2 * (len(ids) - len(seq))  # two pairs with neighbours for each pair replaced
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     repair.write_ids(docs, path := f"{tmp_path}/ids", block_tokens=500)
     got = sorted(repair.read_ids(spark, path, with_ids=True).collect(), key=lambda r: r.start)
