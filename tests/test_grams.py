@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import corpus, mining
+from corpuscle.operators import corpus, mining, selection
 from corpuscle.plans.tables import ship
 
 
@@ -47,3 +47,56 @@ def test_mining_in_tasks(lines, texts, longest):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == plan.count("Generate posexplode(split(text") > 0  # lines are made, positions are not
     assert got.filter(F.octet_length("gram") > longest).isEmpty()
+
+
+def slots_of(texts, runs):
+    """For each language and run the boundaries that it covers."""
+    return {(lang, run): {(d, p, i + k) for d, p, b in bodies(texts)[lang] for i in standing(b, run) for k in range(len(run) - 1)} for lang, run in runs}
+
+
+@pytest.fixture(scope="module")
+def candidates(spark, texts):
+    """Over 64 for x, which overlap themselves and one another and tie; few for y."""
+    runs = {("x", b[i : i + n]) for _, _, b in bodies(texts)["x"] for n in (2, 3, 5, 9) for i in range(0, min(len(b) - n, 60))}
+    runs |= {("y", r) for r in (b"aa", b"aaa", b"abab", b"at ", b"zzz")} | {("z", b"aa")}
+    return sorted(runs), spark.createDataFrame(sorted(runs), "lang string, gram binary").repartition(2)
+
+
+def picks(slots, lang, budget):
+    done, out = set(), []
+    while len(out) < budget:
+        gain, run = min((-len(s - done), r) for (k, r), s in slots.items() if k == lang)
+        if not gain:
+            break
+        out.append((run, -gain))
+        done |= slots[lang, run]
+    return out
+
+
+@pytest.mark.parametrize("together", [1, 3, 64])
+def test_greedy_from_lines(lines, texts, candidates, monkeypatch, together):
+    monkeypatch.setattr(selection, "TOGETHER", together)
+    runs, df = candidates
+    slots = slots_of(texts, [r for r in runs if r[0] != "z"])
+    assert sum(k == "x" for k, _ in runs) > 64
+    got = selection.greedy_of(lines, df, 5).orderBy("step").collect()
+    for lang in ("x", "y"):
+        assert [(bytes(r.gram), r.gain) for r in got if r.lang == lang] == picks(slots, lang, 5)
+        assert [r.step for r in got if r.lang == lang] == list(range(1, 1 + len(picks(slots, lang, 5))))
+    assert {r.lang for r in got} == {"x", "y"}
+
+
+def test_coverage_from_lines(spark, lines, texts, candidates):
+    runs, df = candidates
+    slots = slots_of(texts, [r for r in runs if r[0] != "z"])
+    want = {lang: (len(set().union(*(s for (k, _), s in slots.items() if k == lang))), sum(len(s) for (k, _), s in slots.items() if k == lang)) for lang in ("x", "y")}
+    assert {r.lang: (r.covered, r.slots_of_candidates) for r in selection.coverage_of(lines, df).collect()} == want
+    best = {lang: picks(slots, lang, 2) for lang in ("x", "y")}
+    chosen = spark.createDataFrame([(lang, run) for lang, own in best.items() for run, _ in own], "lang string, gram binary")
+    done = {lang: set().union(*(slots[lang, run] for run, _ in own)) for lang, own in best.items()}
+    left = {k: len(s - done[k[0]]) for k, s in slots.items() if s - done[k[0]]}
+    made = selection.gains_of(lines, df, chosen)
+    assert {(r.lang, bytes(r.gram)): r.gain for r in made.collect()} == left
+    assert "slot" not in made._jdf.queryExecution().optimizedPlan().toString().replace("slots", "")
+    bound = {lang: len(d) + sum(sorted((n for (k, _), n in left.items() if k == lang), reverse=True)[:3]) for lang, d in done.items()}
+    assert {r.lang: (r.covered, r.bound) for r in selection.online_bound_of(lines, df, chosen, 3).collect()} == {lang: (len(done[lang]), bound[lang]) for lang in done}
