@@ -35,7 +35,7 @@ def remeasured(spark: SparkSession, entries: DataFrame, data: str, each: int = 6
     from corpuscle.plans import synthesis
 
     lines = corpus.split(corpus.numbered(corpus.lines(spark.read.parquet(f"{data}/documents.parquet")))).filter("split = 'eval'").select("doc_id", "lang", "pos", "text")
-    found = contexts.first_n(contexts.occurrences(lines, entries.select("lang", F.unhex("gram_hex").alias("gram"))), each)
+    found = contexts.first_occurrences(lines, entries.select("lang", F.unhex("gram_hex").alias("gram")), each)
     placed = found.select(F.hex("gram").alias("token"), F.xxhash64("doc_id", "pos", "at").alias("context"), byte_ids(F.col("gram")).alias("ids"), byte_ids(F.col("prefix")).alias("prefix"), byte_ids(F.col("suffix")).alias("suffix"))
     model = Decoder()
     return synthesis.measured(placed, synthesis.fitted(placed, model), model).select("token", "kl")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import corpus, mining, selection
+from corpuscle.operators import contexts, corpus, mining, selection
 from corpuscle.plans.tables import ship
 
 
@@ -100,3 +100,23 @@ def test_coverage_from_lines(spark, lines, texts, candidates):
     assert "slot" not in made._jdf.queryExecution().optimizedPlan().toString().replace("slots", "")
     bound = {lang: len(d) + sum(sorted((n for (k, _), n in left.items() if k == lang), reverse=True)[:3]) for lang, d in done.items()}
     assert {r.lang: (r.covered, r.bound) for r in selection.online_bound_of(lines, df, chosen, 3).collect()} == {lang: (len(done[lang]), bound[lang]) for lang in done}
+
+
+def test_contexts_from_lines(lines, texts, candidates):
+    runs, df = candidates
+    want = {}
+    for lang, run in runs:
+        for d, p, b in sorted(bodies(texts).get(lang, [])):
+            for i in standing(b, run):
+                want.setdefault((lang, run), []).append((d, p, i + 1, b[max(0, i - 12) : i], b[i + len(run) : i + len(run) + 6]))
+    got = contexts.occurrences(lines, df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == plan.count("Generate posexplode(split(text") > 0
+    of = lambda rows: sorted((r.lang, bytes(r.gram), r.doc_id, r.pos, r["at"], bytes(r.prefix), bytes(r.suffix)) for r in rows)
+    assert of(got.collect()) == sorted((*k, *o) for k, own in want.items() for o in own)
+    for n in (1, 3):
+        first = contexts.first_occurrences(lines, df, n).collect()
+        assert of(first) == sorted((*k, *o) for k, own in want.items() for o in own[:n])
+        assert all((r.doc_id, r.pos, r["at"]) == want[r.lang, bytes(r.gram)][r.k - 1][:3] for r in first)
+    share = {r.lang: (r.n_candidates, r.n_with_context) for r in contexts.share_with_context(df, contexts.occurrences(lines, df, first=1)).collect()}
+    assert share == {lang: (sum(k == lang for k, _ in runs), sum(k == lang and (k, r) in want for k, r in runs)) for lang in "xyz"}
