@@ -7,18 +7,32 @@ view nothing is. Whatever the view, ids expand to the same base ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import N_SPECIAL, byte_ids, byte_text, byte_tokens
-from corpuscle.operators.merge import Trie, merge_ids
+from corpuscle.functions.text import N_SPECIAL, byte_ids, byte_tokens
+from corpuscle.operators.grams import chunks
+from corpuscle.operators.merge import Expander, Merger, Trie, by_slices, changed, flat, merge_ids, slices, within
 from corpuscle.operators.tokenizers import fingerprint
 
 
+def byte_array(text: str | None) -> np.ndarray | None:
+    """Base ids of a text's bytes."""
+    return None if text is None else np.frombuffer(text.encode(), np.uint8).astype(np.int64) + N_SPECIAL
+
+
+def base_bytes(ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bytes of base ids, those out of range dropped, and their offsets."""
+    good = (ids >= N_SPECIAL) & (ids < 256 + N_SPECIAL)
+    return (ids[good] - N_SPECIAL).astype(np.uint8).tobytes(), np.concatenate(([0], np.cumsum(good)))[offsets]
+
+
 @dataclass(frozen=True)
 class View:
     langs: tuple[str, ...] = ()
@@ -103,7 +117,47 @@ class Augmented:
 
     def encode(self, text: Column, view: View) -> Column:
         """Ids of a text over a base of bytes."""
-        return self.encode_ids(byte_ids(byte_tokens(text)), view)
+        patterns = self.patterns(view)
+        if not patterns:
+            return byte_ids(byte_tokens(text))
+
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            merger = Merger(patterns)
+            for s in batches:
+                yield by_slices(s.map(byte_array), merger)
+
+        return run(text)
+
+    def encode_each(self, text: Column, view: Column, views: dict[str, View]) -> Column:
+        """Ids of texts, each under the view that its row names."""
+        return self._each(text, view, views, "array<int>", lambda ids, ends, rows: [ids[a:b].astype(np.int32) for a, b in zip(ends, ends[1:], strict=False)])
+
+    def count_each(self, text: Column, view: Column, views: dict[str, View]) -> Column:
+        """How many ids encode_each() makes, which then never leave the task."""
+        return self._each(text, view, views, "long", lambda ids, ends, rows: np.diff(ends).tolist())
+
+    def _each(self, text: Column, view: Column, views: dict[str, View], kind: str, told: Callable[[np.ndarray, np.ndarray, np.ndarray], list]) -> Column:
+        packs = {name: self.patterns(v) for name, v in views.items()}
+
+        @F.pandas_udf(kind)
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            mergers = {name: Merger(p) for name, p in packs.items()}
+            for texts, named in batches:
+                out = np.full(len(texts), None, object)
+                texts, named = texts.to_numpy(), named.to_numpy()
+                for name in pd.unique(named):
+                    if name not in mergers:
+                        raise KeyError(f"no view {name}")
+                    rows = np.flatnonzero((named == name) & pd.notna(texts))
+                    for lo, hi in slices(np.array([len(t) for t in texts[rows]], np.int64)):
+                        part = rows[lo:hi]
+                        made = told(*mergers[name](*flat([byte_array(t) for t in texts[part]])), part)
+                        for row, x in zip(part, made, strict=True):
+                            out[row] = x
+                yield pd.Series(out) if kind != "long" else pd.Series(out, dtype="Int64")
+
+        return run(text, view)
 
     def count(self, text: Column, view: View) -> Column:
         return F.size(self.encode(text, view)).cast("long")
@@ -116,8 +170,41 @@ class Augmented:
         return F.flatten(F.transform(ids, lambda i: F.coalesce(F.try_element_at(table, i), F.array(i))))
 
     def decode(self, ids: Column) -> Column:
-        """Text of ids over a base of bytes."""
-        return byte_text(self.to_base(ids))
+        """Text of ids over a base of bytes; ids out of range are dropped, invalid bytes become marks."""
+        runs = {new: run for new, (_, run) in self._by_id.items()}
+
+        @F.pandas_udf("binary")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            expander = Expander(runs)
+            for s in batches:
+                rows, out = s.tolist(), []
+                for lo, hi in slices(np.array([0 if x is None else len(x) for x in rows], np.int64)):
+                    own = [x if x is None or x.dtype.kind == "i" else x[~np.isnan(x)] for x in rows[lo:hi]]  # a null is no id
+                    made, ends = base_bytes(*expander(*flat(own)))
+                    out += [None if x is None else made[a:b] for x, a, b in zip(own, ends, ends[1:], strict=False)]
+                yield pd.Series(out, dtype=object)
+
+        return F.make_valid_utf8(run(ids).cast("string"))
+
+    def isolation(self, rows: DataFrame, views: dict[str, View]) -> DataFrame:
+        """view, lang, n_tokens, n_new, not_lossless of texts (lang, text): tokens under each view, those of the view's packs, and texts that do not come back or hold an id of another pack. One pass; texts are encoded and decoded inside tasks."""
+        packs, runs, base = {name: self.patterns(v) for name, v in views.items()}, {new: run for new, (_, run) in self._by_id.items()}, self.base_size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mergers, expander = {name: (Merger(p), np.array(sorted(p.values()), np.int64)) for name, p in packs.items()}, Expander(runs)
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for lang, x in chunks(batch):
+                    ids, offsets = x.data.astype(np.int64) + N_SPECIAL, np.append(x.start, len(x.data))
+                    for name, (merger, own) in mergers.items():
+                        made, ends = merger(ids, offsets)
+                        back, edges = base_bytes(*expander(made, ends))
+                        ours = np.isin(made, own)
+                        sums[name, lang] = sums.get((name, lang), np.zeros(3, np.int64)) + (len(made), np.count_nonzero(ours), changed(x.data, offsets, np.frombuffer(back, np.uint8), edges) + within((made >= base) & ~ours, ends))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), *(pa.array([int(v[k]) for v in sums.values()], pa.int64()) for k in range(3))], names=["view", "lang", "n_tokens", "n_new", "not_lossless"])
+
+        made = rows.filter("text IS NOT NULL").select("lang", "text").mapInArrow(run, "view string, lang string, n_tokens long, n_new long, not_lossless long")
+        return made.groupBy("view", "lang").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_new", "not_lossless")])
 
     def pieces(self, ids: Column) -> Column:
         """How ids are shown: <xx> for bytes, the text of a merged run in brackets."""

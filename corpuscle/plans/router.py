@@ -88,16 +88,13 @@ class Router:
     # texts in columns, each row under the view that it names
 
     def encode(self, text: Column, view: Column) -> Column:
-        out = F.lit(None).cast("array<int>")
-        for name, v in self.views.items():
-            out = F.when(view == name, self.vocabulary.encode(F.when(view == name, text), v)).otherwise(out)
-        return F.when(view.isin(self.names), out).otherwise(F.raise_error(F.concat(F.lit("no view "), view)))
+        return self.vocabulary.encode_each(text, view, self.views)
 
     def decode(self, ids: Column) -> Column:
         return self.vocabulary.decode(ids)
 
     def count(self, text: Column, view: Column) -> Column:
-        return F.size(self.encode(text, view)).cast("long")
+        return self.vocabulary.count_each(text, view, self.views)
 
     # single sequences, on the driver
 
