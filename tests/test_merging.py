@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle import catalog_views
-from corpuscle.operators import merge
+from corpuscle.operators import corpus, merge, tokenizers
 from corpuscle.operators.augmented import Augmented
 from corpuscle.plans.router import load
+from tests.test_views import PATH
 
 
 @pytest.mark.parametrize("shift, most", [(0, 256), (0xD7FE, 256), (0, 1), (-2, 256), (0x110000, 256)])
@@ -64,3 +65,42 @@ def test_requests_of_all_views_in_one_stage(spark):
     counts = rows.select(router.count(F.col("text"), F.col("view")).alias("n"))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1
+
+
+def test_words_have_the_pieces_of_their_text():
+    t = tokenizers.Subword(PATH)
+    split, words = t._cutters()
+    odd = ["plain words here", "two  spaces   three", " lead and trail ", "tab\t x", "nbsp  x y", "sep\x1c x", "it's we 've  'll", "a  b", "x  y", "1 2,3 -- é 日本 語", "", " ", "a b\u0085 c"]
+    r = random.Random(1)
+    odd += ["".join(r.choice("ab1'  \t.é") for _ in range(40)) for _ in range(300)]
+    for text in odd:
+        assert [p for w in words(text) for p in split(w)] == split(text) and "".join(words(text)) == text
+    assert len(words("plain words here")) == 3
+
+
+@pytest.mark.parametrize("most", [1, 1 << 19])
+def test_totals_by_groups(spark, monkeypatch, most):
+    t, texts = tokenizers.Subword(PATH), ["plain words here and here", "two  spaces", None, "", "it's 日本 語"] * 5
+    rows = spark.createDataFrame([(k % 3 or None, "xy"[k % 2], x) for k, x in enumerate(texts)], "a int, b string, text string")
+    monkeypatch.setattr(tokenizers, "MOST_HELD", most)
+    want = {}
+    for k, x in enumerate(texts):
+        want[k % 3 or None, "xy"[k % 2]] = want.get((k % 3 or None, "xy"[k % 2]), 0) + len(t.handle.encode(x or "", add_special_tokens=False).ids)
+    made = t.totals(rows, ["a", "b"])
+    assert {(r.a, r.b): r.n_tokens for r in made.collect()} == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # lines are cut once
+
+
+def test_trained_counts_are_not_in_hex(spark):
+    merges = [("61", "61", 9), ("61", "6161", 8), ("6161", "61", 7), ("C3", "A9", 6), ("616161", "C3A9", 5)]
+    rows = spark.createDataFrame([("aaa",), ("aaaaaaaéaaé",), ("",), (None,), ("ÿĀ aaaé",)], "text string")
+    made = rows.select(tokenizers.bpe_symbols(F.col("text"), merges).alias("s"), tokenizers.bpe_count(F.col("text"), merges).alias("n"))
+    assert [(r.s is None, r.n) for r in made.collect()] == [(r.s is None, None if r.s is None else r.s.count("<")) for r in made.collect()]
+    assert "hex" not in rows.select(tokenizers.bpe_count(F.col("text"), merges))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbering_spreads_a_language(spark):
+    """Six thousand dense documents are more than one span, numbered on."""
+    rows = corpus.numbered(spark.range(6000).selectExpr("id AS doc_id", "'x' AS lang", "0 AS pos", "'t' AS text"))
+    assert rows.filter("line_no <> doc_id OR n_lines <> 6000").count() == 0
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("4096") >= 1
