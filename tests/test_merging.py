@@ -104,3 +104,15 @@ def test_numbering_spreads_a_language(spark):
     rows = corpus.numbered(spark.range(6000).selectExpr("id AS doc_id", "'x' AS lang", "0 AS pos", "'t' AS text"))
     assert rows.filter("line_no <> doc_id OR n_lines <> 6000").count() == 0
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("4096") >= 1
+
+
+def test_pairs_do_not_meet_by_language(spark):
+    """Lines are joined by their number; no join sends a language's pairs to one task, whatever the planner takes for small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = [("xy"[k % 2], k, "a" * (10 + k % 7), "b" * (10 + k % 5)) for k in range(40)] + [("x", 99, "a" * 400, "b" * 12)]
+        kept = corpus.clean_bitext(spark.createDataFrame(pairs, "lang string, line_no long, text string, pivot_text string"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and kept.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
